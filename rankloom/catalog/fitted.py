@@ -1 +1,69 @@
-"""placeholder"""
+"""Fitted models.  Fits have no SQL; tests check them against direct solutions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rankloom.catalog.fixtures import VEC, scored, vectors
+from rankloom.catalog.registry import query
+from rankloom.operators import fit, splits
+from rankloom.operators.metrics import ndcg
+
+
+def _xy(t):
+    """Samples with a label per embedding dimension group: suppliers carry the vectors."""
+    x = vectors(t).join(t.supplier.select(F.col("s_suppkey").alias("g")), "g", "left_semi")
+    return x, scored(t).select("g", "i", "y")
+
+
+@query("fit_04_elastic_net")
+def _(t):
+    x, y = _xy(t)
+    models = fit.fit_en(x, y.where("g % 5 <> 0"), [0.05], [0.5])
+    return fit.predict_linear(y.where("g % 5 = 0"), x, models).select("g", "i", "y", "s")
+
+
+@query("fit_05_kernel_ridge")
+def _(t):
+    from rankloom.operators.similarity import standardised
+    x, y = _xy(t)
+    models = fit.fit_krr(x, y.where("g % 5 <> 0"), [1.0])
+    return fit.predict_linear(y.where("g % 5 = 0"), standardised(x), models).select("g", "i", "y", "s")
+
+
+@query("fit_06_tune_elastic_net")
+def _(t):
+    x, y = _xy(t)
+    split = splits.holdout(x.select("g"), 0.2, 5)
+    return fit.tune(x, y, split, lambda a, b: fit.fit_en(a, b, [0.01, 0.1, 1.0], [0.2, 0.8]), 10)
+
+
+@query("fit_06_tune_kernel_ridge")
+def _(t):
+    x, y = _xy(t)
+    split = splits.holdout(x.select("g"), 0.2, 5)
+    return fit.tune(x, y, split, lambda a, b: fit.fit_krr(a, b, [0.1, 1.0, 10.0]), 10, kernel=True)
+
+
+@query("fit_01_mf_zero_filled")
+def _(t):
+    x, y = _xy(t)
+    model = fit.fit_mf(x, y.where("g % 5 <> 0"), 8, 300, lr=5.0, mask=False)
+    return fit.mf_tables(model, x, y.where("g % 5 = 0"))
+
+
+@query("fit_02_mf_masked")
+def _(t):
+    x, y = _xy(t)
+    model = fit.fit_mf(x, y.where("g % 5 <> 0"), 8, 3, lr=5.0)
+    return fit.mf_tables(model, x, y.where("g % 5 = 0"))
+
+
+@query("fit_03_mf_tables")
+def _(t):
+    x, y = _xy(t)
+    model = fit.fit_mf(x, y, 8, 300, lr=5.0, mask=False)
+    scores = fit.mf_tables(model, x, y)
+    per = ndcg(scores, 10)
+    err = scores.groupBy("g").agg(F.sqrt(F.avg((F.col("s") - F.col("y")) ** 2)).alias("rmse"))
+    return per.join(err, "g").join(model.group_table(x).select("g", F.size("p").alias("dim")), "g")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.operators.ordering import dense_index, exact_median, first_per_key
-from rankloom.operators.filters import dense_cells, dense_rows
+from rankloom.operators.filters import fill_labels
 
 
 def marginal_means(df: DataFrame, by: str = "g", item: str = "i", value: str = "y") -> DataFrame:
@@ -67,8 +67,7 @@ def pivot_latest(df: DataFrame, by: str, item: str, value: str, order: Column) -
 def pivot_matrix(df: DataFrame, by: str, item: str, value: str, order: Column,
                  default: float = -1.0) -> DataFrame:
     """Every (by, item) cell; never-written cells hold the default."""
-    latest = pivot_latest(df, by, item, value, order)
-    return dense_cells(dense_rows(latest, default, by, item, value), latest, by, item, value)
+    return fill_labels(pivot_latest(df, by, item, value, order), default, by, item, value)
 
 
 def last_attrs(df: DataFrame, by: str, attrs: list[str], order: Column) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import warnings
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions.scalars import is_number, patient_id
 from rankloom.operators.ordering import dense_index, first_per_key, grouped_rank
 
-# Dense rows and index arrays are stored in pieces of this many cells.
+# Index arrays and item packs hold at most this many cells.
 SEGMENT = 1024
 
 
@@ -200,34 +198,27 @@ def item_segments(items: DataFrame, item: str, width: int = SEGMENT) -> DataFram
             .withColumn("offset", F.col("idx") % width))
 
 
-def dense_rows(df: DataFrame, fill: float | None, by: str = "g", item: str = "i", value: str = "y",
-               items: DataFrame | None = None, width: int = SEGMENT) -> DataFrame:
-    """The matrix of groups by items as (group, segment, values): one array of at most
-    `width` cells per group and item segment, missing cells holding `fill`.
+def missing_cells(df: DataFrame, by: str = "g", item: str = "i", value: str = "y",
+                  items: DataFrame | None = None, width: int = SEGMENT) -> DataFrame:
+    """The (group, item) cells of the full matrix that hold no value.
 
-    Only observed cells are shuffled; each array is completed in place."""
+    Each group and item segment compares its at most `width` observed offsets with the
+    segment's, so the full matrix exists only as the result."""
     index = item_segments(df.select(item) if items is None else items.select(item), item, width)
     lengths = index.groupBy("segment").agg(F.count("*").alias("length"))
-    cells = (df.where(F.col(value).isNotNull()).join(index, item)
-             .groupBy(by, "segment").agg(F.map_from_entries(F.collect_list(  # at most `width` entries
-                 F.struct("offset", F.col(value).cast("double")))).alias("cells")))
-    count = lengths.agg(F.max("segment")).scalar()
-    frame = df.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0).cast("long"), count)).alias("segment"))
-    blank = F.lit(fill).cast("double")
-    return (frame.join(lengths, "segment").join(cells, [by, "segment"], "left")
-            .select(by, "segment", F.transform(
-                F.sequence(F.lit(0).cast("long"), F.col("length") - 1),
-                lambda o: F.coalesce(F.element_at(F.col("cells"), o), blank)).alias("values")))
-
-
-def dense_cells(rows: DataFrame, items: DataFrame, by: str = "g", item: str = "i", value: str = "y",
-                width: int = SEGMENT) -> DataFrame:
-    """Long form of `dense_rows`, with the item keys put back."""
-    index = item_segments(items.select(item), item, width).select(item, "segment", "offset")
-    long = rows.select(by, "segment", F.posexplode("values").alias("offset", value))
-    return long.join(index, ["segment", "offset"]).select(by, item, value)
+    have = (df.where(F.col(value).isNotNull()).select(by, item).join(index, item)
+            .groupBy(by, "segment").agg(F.collect_set("offset").alias("have")))
+    last = lengths.agg(F.max("segment")).scalar()
+    frame = df.select(by).distinct().select(
+        by, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("segment"))
+    full = F.sequence(F.lit(0).cast("long"), F.col("length") - 1)
+    none = F.array().cast("array<bigint>")
+    return (frame.join(lengths, "segment").join(have, [by, "segment"], "left")
+            .select(by, "segment", F.explode(F.array_except(full, F.coalesce("have", none))).alias("offset"))
+            .join(index.select(item, "segment", "offset"), ["segment", "offset"]).select(by, item))
 
 
 def fill_labels(df: DataFrame, fill: float = 0.0, by: str = "g", item: str = "i", label: str = "y") -> DataFrame:
     """Every (group, item) cell with missing labels set to `fill`."""
-    return dense_cells(dense_rows(df, fill, by, item, label), df, by, item, label)
+    empty = missing_cells(df, by, item, label).select(by, item, F.lit(float(fill)).alias(label))
+    return df.where(F.col(label).isNotNull()).select(by, item, label).unionByName(empty)

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from rankloom.functions.vectors import centred, norm, spread
 from rankloom.runtime import shuffle_partitions
 
 BLOCK = 256
@@ -24,15 +25,16 @@ def standardised(vec: DataFrame, key: str = "g", col: str = "x", zero_std: str =
     (correlation 0), or gives a NULL vector with zero_std="null"."""
     if zero_std not in ("one", "null"):
         raise ValueError(f"unknown zero_std {zero_std!r}")
-    v = F.transform(F.col(col), lambda x: x.cast("double"))
-    rows = (vec.select(key, v.alias("__v")).withColumn("__n", F.size("__v").cast("double"))
-            .withColumn("__m", F.aggregate("__v", F.lit(0.0), lambda s, x: s + x) / F.col("__n"))
-            .withColumn("__sd", F.sqrt(F.aggregate(
-                "__v", F.lit(0.0), lambda s, x: s + (x - F.col("__m")) * (x - F.col("__m"))) / F.col("__n"))))
-    flat = F.col("__sd") <= F.abs(F.col("__m")) * F.lit(1e-15)
-    sd = F.when(flat, 1.0).otherwise(F.col("__sd")) * F.sqrt("__n")
-    z = F.transform("__v", lambda x: F.when(flat, 0.0).otherwise((x - F.col("__m")) / sd))
-    return rows.select(key, (F.when(~flat, z) if zero_std == "null" else z).alias(col))
+    rows = vec.select(key, centred(col).alias("__c"), F.aggregate(
+        col, F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x.cast("double")))).alias("__top"))
+    rows = rows.withColumn("__len", norm("__c"))
+    # Rounding leaves a constant vector with a length of a few last bits.
+    flat = F.col("__len") <= F.col("__top") * F.sqrt(F.size("__c")) * F.lit(1e-14)
+    length = F.when(flat, 1.0).otherwise(F.col("__len"))
+    zeros = F.array_repeat(F.lit(0.0), F.size("__c"))
+    z = F.zip_with("__c", spread(length, "__c"), lambda x, n: x / n)
+    flat_value = F.lit(None).cast("array<double>") if zero_std == "null" else zeros
+    return rows.select(key, F.when(flat, flat_value).otherwise(z).alias(col))
 
 
 def _packed(vec: DataFrame, key: str, col: str, block: int) -> tuple[DataFrame, int]:
