@@ -67,9 +67,10 @@ def _carry(heads: DataFrame, by: list[str], outs: list[str], decay: float) -> Da
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         full = heads.select(*by, "__chunk", *[F.sum(f"__h_{o}").over(after).alias(f"__c_{o}") for o in outs])
     else:
-        full = discounted_suffix(heads, by, "__chunk",
-                                 {f"__c_{o}": F.col(f"__h_{o}") for o in outs}, decay)
-        full = full.drop(*[f"__h_{o}" for o in outs])
+        # The chunks form a shorter path with a stronger decay.
+        path = heads.withColumnRenamed("__chunk", "__at")
+        full = discounted_suffix(path, by, "__at", {f"__c_{o}": F.col(f"__h_{o}") for o in outs}, decay)
+        full = full.drop(*[f"__h_{o}" for o in outs]).withColumnRenamed("__at", "__chunk")
     return full.withColumn("__chunk", F.col("__chunk") - 1)
 
 
