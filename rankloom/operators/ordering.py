@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rankloom.functions.random import key_hash
 from rankloom.runtime import durable, hot_groups, shuffle_partitions
 
+# Spark cuts groups on the map side up to this k (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
 
 def score_order(score: str, item: str = "i") -> list[Column]:
     """Descending score, missing scores last, ties by ascending item key."""
@@ -91,6 +94,8 @@ def tile(position: Column, total: Column, k: int) -> Column:
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
     """First k rows per group; Spark keeps at most k rows per group and map task before
     the shuffle, so a hot group shrinks where it is read."""
+    if k > GROUP_LIMIT:
+        return grouped_rank(df, by, order, out).filter(F.col(out) <= k)
     window = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= k)
 

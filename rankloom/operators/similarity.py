@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from rankloom.functions.vectors import centred, norm, spread
-from rankloom.runtime import shuffle_partitions
 
 BLOCK = 256
 
@@ -50,19 +49,17 @@ def _packed(vec: DataFrame, key: str, col: str, block: int) -> tuple[DataFrame,
 def _tiles(a: DataFrame, b: DataFrame | None, key: str, col: str, tile_fn, block: int) -> DataFrame:
     """One row per (left id, right block): ids and values as arrays."""
     left, nl = _packed(a, key, col, block)
-    id_type = dict(a.dtypes)[key]
-    if b is None:
-        right, nr = left, nl
-        partner = F.explode(F.sequence(F.col("b"), F.lit(nl - 1)))
-    else:
-        right, nr = _packed(b, key, col, block)
-        partner = F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))
-    met = (left.withColumnsRenamed({"ids": "ids1", "flat": "flat1"}).withColumn("b2", partner)
-           .join(right.select(F.col("b").alias("b2"), F.col("ids").alias("ids2"),
-                              F.col("flat").alias("flat2")), "b2")
-           .select("b", "b2", "ids1", "flat1", "ids2", "flat2")
-           # spread the tiles: with few blocks the join leaves them in few tasks
-           .repartition(shuffle_partitions(a), "b", "b2"))
+    right, nr = (left, nl) if b is None else _packed(b, key, col, block)
+    lowest = F.col("b") if b is None else F.lit(0)
+    highest = F.col("b2") if b is None else F.lit(nl - 1)
+    # Both sides go straight to the task of their tile (b, b2).  The merge hint keeps a small
+    # kernel from being broadcast into a single task.
+    lefts = left.select("b", F.explode(F.sequence(lowest, F.lit(nr - 1))).alias("b2"),
+                        F.col("ids").alias("ids1"), F.col("flat").alias("flat1"))
+    rights = right.withColumnRenamed("b", "b2").select(
+        F.explode(F.sequence(F.lit(0), highest)).alias("b"), "b2",
+        F.col("ids").alias("ids2"), F.col("flat").alias("flat2"))
+    met = lefts.join(rights.hint("merge"), ["b", "b2"])
     mirror = b is None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rankloom.functions.scalars import gain
 from rankloom.operators.ordering import grouped_rank
 from rankloom.operators.scans import prefix_scan
+from rankloom.runtime import shuffle_partitions
 
 DEGREE = 14
+TILE = 256
 
 
 def _chebyshev(u: Column, m: int) -> Column:
@@ -41,30 +43,54 @@ def _transfers(eps: float) -> dict[int, np.ndarray]:
     return out
 
 
-def _meet_cells(transfers: dict[int, np.ndarray]):
+def _meet_cells(by: list[str], transfers: dict[int, np.ndarray]):
+    """Task body: rows sorted by (group, tile, cell); each tile holds its own cells and those
+    of its neighbours within reach, at most two tiles' worth."""
     p = DEGREE
-    stacked = np.vstack([transfers[d] for d in sorted(transfers)])
-    shifts = np.array(sorted(transfers))
+    span = 4 * TILE
+
+    def complete(part: pd.DataFrame) -> pd.DataFrame:
+        edge = np.zeros(len(part), dtype=bool)
+        for c in [*by, "tile"]:
+            v = part[c].to_numpy()
+            edge[1:] |= v[1:] != v[:-1]
+        cell, tile = part["cell"].to_numpy(), part["tile"].to_numpy()
+        key = np.cumsum(edge) * span + (cell - tile * TILE + TILE)
+        moments = part[[f"m{j}" for j in range(p)]].to_numpy()
+        own = np.flatnonzero(cell // TILE == tile)
+        coef = np.zeros((len(own), p))
+        above, below = np.zeros(len(own)), np.zeros(len(own))
+        for shift, matrix in transfers.items():
+            want = key[own] + shift
+            at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            hit = np.flatnonzero(key[at] == want)
+            source = moments[at[hit]]
+            coef[hit] += source @ matrix.T
+            if shift > 0:
+                above[hit] += source[:, 0]
+            elif shift < 0:
+                below[hit] += source[:, 0]
+        out = {c: part[c].to_numpy()[own] for c in [*by, "cell"]}
+        out.update(up=above, dn=below)
+        out.update({f"c{j}": coef[:, j] for j in range(p)})
+        return pd.DataFrame(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cells in batches:
-            if not len(cells):
+        held = None
+        for pdf in batches:
+            if not len(pdf):
                 continue
-            # bounded slices: every cell fans out to len(shifts) rows
-            for lo in range(0, len(cells), 512):
-                part = cells.iloc[lo:lo + 512]
-                moments = part[[f"m{j}" for j in range(p)]].to_numpy(dtype=float)
-                coef = (moments @ stacked.T).reshape(len(part) * len(shifts), p)
-                target = part["cell"].to_numpy()[:, None] - shifts[None, :]
-                n = part["m0"].to_numpy()[:, None]
-                out = {c: np.repeat(part[c].to_numpy(), len(shifts)) for c in part.columns
-                       if c != "cell" and not c.startswith("m")}
-                out["cell"] = target.ravel()
-                out["above"] = np.where(shifts > 0, n, 0.0).ravel()
-                out["below"] = np.where(shifts < 0, n, 0.0).ravel()
-                for j in range(p):
-                    out[f"c{j}"] = coef[:, j]
-                yield pd.DataFrame(out)
+            part = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = part.iloc[-1]
+            same = np.ones(len(part), dtype=bool)
+            for c in [*by, "tile"]:
+                same &= (part[c] == last[c]).to_numpy()
+            cut = len(part) - int(same[::-1].cumprod().sum())
+            held = part.iloc[cut:]
+            if cut:
+                yield complete(part.iloc[:cut])
+        if held is not None:
+            yield complete(held)
 
     return run
 
@@ -79,17 +105,19 @@ def smooth_positions(df: DataFrame, alpha: float = 10.0, eps: float = 1e-9, by:
             .withColumn("__u", F.col("__t") - F.col("cell")).drop("__t"))
     cells = rows.groupBy(*by, "cell").agg(*[F.sum(_chebyshev(F.col("__u"), j)).alias(f"m{j}") for j in range(p)])
     types = dict(df.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["cell long", "above double", "below double"]
+    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["cell long", "up double", "dn double"]
                        + [f"c{j} double" for j in range(p)])
-    near = (cells.mapInPandas(_meet_cells(_transfers(eps)), schema).groupBy(*by, "cell")
-            .agg(F.sum("above").alias("__up"), F.sum("below").alias("__dn"),
-                 *[F.sum(f"c{j}").alias(f"c{j}") for j in range(p)]))
+    transfers = _transfers(eps)
+    reach = F.sequence(F.floor((F.col("cell") - max(transfers)) / TILE), F.floor((F.col("cell") - min(transfers)) / TILE))
+    tiles = (cells.withColumn("tile", F.explode(reach)).repartition(shuffle_partitions(df), *by, "tile")
+             .sortWithinPartitions(*by, "tile", "cell"))
+    near = tiles.mapInPandas(_meet_cells(by, transfers), schema)
     counts = cells.select(*by, "cell", F.col("m0").alias("__n"))
     lower = prefix_scan(counts, by, "cell", {"__cum": ("sum", F.col("__n"))})
     total = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
     field = (lower.join(near, [*by, "cell"]).join(total, by)
-             .withColumn("__far", (F.col("__all") - F.col("__cum") - F.col("__up"))
-                         + F.lit(eps) * (F.col("__cum") - F.col("__n") - F.col("__dn"))))
+             .withColumn("__far", (F.col("__all") - F.col("__cum") - F.col("up"))
+                         + F.lit(eps) * (F.col("__cum") - F.col("__n") - F.col("dn"))))
     inside = sum((F.col(f"c{j}") * _chebyshev(F.col("__u"), j) for j in range(p)), F.lit(0.0))
     # The sum includes the row itself, whose own term is sigmoid(0) = 1/2.
     return (rows.join(field, [*by, "cell"])

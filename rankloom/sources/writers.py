@@ -17,9 +17,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_scored(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append predictions under one folder per run.  Rows are gathered per run first, so a
-    run writes few files; large runs are split over several tasks by adaptive execution."""
-    df.repartition(*keys).write.mode("append").partitionBy(*keys).parquet(path)
+    """Append predictions under one folder per run.  Rows are gathered per run, so a small run
+    writes one file, and adaptive execution splits a run too large for one task."""
+    df.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).parquet(path)
 
 
 def missing_runs(grid: DataFrame, path: str, keys: list[str]) -> DataFrame:
