@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.catalog.fixtures import VEC, scored, vectors
+from rankloom.catalog.fixtures import SCORED, scored, vectors
 from rankloom.catalog.registry import query
 from rankloom.operators import fit, splits
 from rankloom.operators.metrics import ndcg
+from rankloom.operators.surrogate import rank_surrogate, surrogate_gradient
 
 
 def _xy(t):
@@ -67,3 +68,42 @@ def _(t):
     per = ndcg(scores, 10)
     err = scores.groupBy("g").agg(F.sqrt(F.avg((F.col("s") - F.col("y")) ** 2)).alias("rmse"))
     return per.join(err, "g").join(model.group_table(x).select("g", F.size("p").alias("dim")), "g")
+
+
+@query("rank_16_surrogate")
+def _(t):
+    rows, losses = rank_surrogate(scored(t).withColumn("s", F.col("s") / 10), 3)
+    return rows.join(losses, "g")
+
+
+def _kernel_features(t):
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("g"), (F.col("l_orderkey") % 50).alias("t")).agg(
+        F.avg("l_discount").alias("x"))
+
+
+def _start_weights(t):
+    return t.lineitem.groupBy((F.col("l_orderkey") % 50).alias("t"), F.col("l_partkey").alias("i")).agg(
+        F.avg("l_tax").alias("w"))
+
+
+@query("rank_17_surrogate_gradient")
+def _(t):
+    grad, _ = surrogate_gradient(scored(t), _kernel_features(t), _start_weights(t), 3)
+    return grad
+
+
+_SQUARED = f"""WITH {SCORED}, k AS (SELECT l_suppkey AS g, l_orderkey % 50 AS t, avg(l_discount) AS x FROM lineitem GROUP BY 1, 2),
+  w AS (SELECT l_orderkey % 50 AS t, l_partkey AS i, avg(l_tax) AS w FROM lineitem GROUP BY 1, 2),
+  f AS (SELECT g, i, sum(x * w) AS s FROM k JOIN w USING (t) GROUP BY g, i),
+  r AS (SELECT g, i, 2 * (f.s - y) AS gradient FROM scored JOIN f USING (g, i) WHERE y IS NOT NULL)
+  SELECT t, i, sum(x * gradient) AS gradient FROM r JOIN k USING (g) GROUP BY t, i"""
+
+
+@query("udf_05_pluggable_loss", _SQUARED, dbl="gradient", num="t i")
+def _(t):
+    def squared(rows, _):
+        gap = F.col("s") - F.col("y")
+        seen = rows.where("y is not null")
+        return (seen.withColumn("gradient", 2 * gap), seen.groupBy("g").agg(F.sum(gap * gap).alias("loss")))
+    grad, _ = surrogate_gradient(scored(t), _kernel_features(t), _start_weights(t), 3, squared)
+    return grad
