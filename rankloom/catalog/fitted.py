@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rankloom.catalog.fixtures import SCORED, scored, vectors
 from rankloom.catalog.registry import query
 from rankloom.operators import fit, splits
 from rankloom.operators.metrics import ndcg
+from rankloom.operators.scoring import score_deep_cross
 from rankloom.operators.surrogate import rank_surrogate, surrogate_gradient
 
 
@@ -107,3 +109,16 @@ def _(t):
         return (seen.withColumn("gradient", 2 * gap), seen.groupBy("g").agg(F.sum(gap * gap).alias("loss")))
     grad, _ = surrogate_gradient(scored(t), _kernel_features(t), _start_weights(t), 3, squared)
     return grad
+
+
+@query("fit_08_score_deep_cross")
+def _(t):
+    x, y = _xy(t)
+    q = t.part.select(F.col("p_partkey").alias("i"), F.array(*[F.expr(e).cast("double") for e in (
+        "p_size / 50", "p_retailprice / 2000", "p_partkey % 7 / 7", "1")]).alias("q"))
+    draw = np.random.default_rng(3).normal
+    weights = {"cell": 0.2 * draw(size=(64, 4)), "deep": [0.3 * draw(size=(9, 8)), 0.3 * draw(size=(8, 4))],
+               "cross": [(0.2 * draw(size=9), np.zeros(9)) for _ in range(2)],
+               "norm": (np.zeros(14), np.ones(14), np.ones(14), np.zeros(14), 1e-5),
+               "out": (draw(size=14), 10.0)}
+    return score_deep_cross(y, x, q, weights)

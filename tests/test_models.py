@@ -108,3 +108,16 @@ def test_blocks_do_not_change_a_kernel(spark):
         got = K.pearson_pairs(df, block=block).collect()
         assert len(got) == 23 * 23
         assert all(r.k == pytest.approx(want[r.g1, r.g2], abs=1e-12) for r in got)
+
+
+def test_network_scores_by_hand(spark):
+    from rankloom.operators.scoring import score_deep_cross
+    xs = spark.createDataFrame([(1, [1.0, 2.0])], "g int, x array<double>")
+    items = spark.createDataFrame([(7, [3.0])], "i int, q array<double>")
+    pairs = spark.createDataFrame([(1, 7)], "g int, i int")
+    weights = {"cell": np.array([[1.0], [0.5]]), "deep": [np.array([[1.0], [-2.0], [1.0]]), np.array([[2.0]])],
+               "cross": [(np.array([1.0, 0.0, 0.0]), np.array([0.0, 1.0, 0.0]))], "norm": None,
+               "out": (np.array([1.0, 1.0, 1.0, 1.0, 1.0]), 10.0)}
+    # p = 2, q = 3, match = 6, base = (2, 3, 6); deep = relu(2 - 6 + 6) * 2 = 4
+    # cross = base * 2 + (0, 1, 0) + base = (6, 10, 18); sum = 4 + 34 + 6 + 10
+    assert score_deep_cross(pairs, xs, items, weights).first().s == pytest.approx(54.0)
