@@ -7,13 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Below this optimizer size estimate one task can hold any single group.
+# Below this many scanned bytes one task can hold any single group.
 SMALL_INPUT_BYTES = 128 * 1024 * 1024
 # A group with fewer rows than this is never treated as hot.
 HOT_GROUP_ROWS = 2_000_000
 # Only the largest groups can be hot: by the pigeonhole rule every other group holds
 # less than 1 / HOT_GROUP_KEYS of the rows, and the key list stays this short.
 HOT_GROUP_KEYS = 10_000
+# Input bytes per task, and the most tasks, of an explicit repartition.
+TASK_BYTES = 128 * 1024 * 1024
+MAX_TASKS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,12 +47,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the pruned scans below a DataFrame.  The estimate of the whole plan is not
+    used, because without column statistics it multiplies the sides of a join."""
+    return sum(_leaf_bytes(df))
+
+
+def _leaf_bytes(df: DataFrame) -> list[int]:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return [int(str(leaves.apply(n).stats().sizeInBytes())) for n in range(leaves.size())]
 
 
 def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    return estimated_bytes(df) <= limit
+    return input_bytes(df) <= limit
 
 
 def hot_groups(df: DataFrame, by: list[str], floor_rows: int | None = None) -> DataFrame | None:
@@ -75,4 +85,9 @@ def hot_groups(df: DataFrame, by: list[str], floor_rows: int | None = None) -> D
 
 
 def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Tasks for an explicit repartition: the session's setting, or more when the input would
+    give them over TASK_BYTES each."""
+    # a leaf of unknown size reports a number near 2^63
+    known = sum(b for b in _leaf_bytes(df) if b < 1 << 60)
+    wanted = -(-known // TASK_BYTES)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, MAX_TASKS))
