@@ -53,9 +53,12 @@ def input_bytes(df: DataFrame) -> int:
     return sum(_leaf_bytes(df))
 
 
-def _leaf_bytes(df: DataFrame) -> list[int]:
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return [int(str(leaves.apply(n).stats().sizeInBytes())) for n in range(leaves.size())]
+def _leaf_bytes(df: DataFrame, scans_only: bool = False) -> list[int]:
+    found = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [found.apply(n) for n in range(found.size())]
+    if scans_only:
+        leaves = [l for l in leaves if l.getClass().getSimpleName() == "LogicalRelation"]
+    return [int(str(l.stats().sizeInBytes())) for l in leaves]
 
 
 def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
@@ -87,7 +90,6 @@ def hot_groups(df: DataFrame, by: list[str], floor_rows: int | None = None) -> D
 def shuffle_partitions(df: DataFrame) -> int:
     """Tasks for an explicit repartition: the session's setting, or more when the input would
     give them over TASK_BYTES each."""
-    # a leaf of unknown size reports a number near 2^63
-    known = sum(b for b in _leaf_bytes(df) if b < 1 << 60)
-    wanted = -(-known // TASK_BYTES)
+    # only stored tables report a true size
+    wanted = -(-sum(_leaf_bytes(df, scans_only=True)) // TASK_BYTES)
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, MAX_TASKS))
