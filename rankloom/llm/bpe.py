@@ -29,7 +29,7 @@ from rankloom.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Remembered units per Python worker; the store is emptied when full.
-MEMORY_UNITS = 700_000
+MEMORY_UNITS = 250_000
 # Cells of the trees that are merged together.
 TREE_CELLS = 1 << 16
 
