@@ -101,8 +101,7 @@ def canonical(df: DataFrame, mappings=None) -> DataFrame:
     key = F.col("conv_id") if "conv_id" in df.columns else F.lit(None).cast("bigint")
     if m.kind == "list":
         array, role, said = m.fields
-        turns = F.transform(F.coalesce(F.col(f"`{array}`"), F.array()), lambda t: F.struct(
-            _role(text(t[role])).alias("role"), text(t[said]).alias("text")))
+        turns = F.coalesce(_items(F.col(f"`{array}`"), role, said).cast(TURNS), F.array().cast(TURNS))
     else:
         turns = _parts(m, lambda f: F.col(f"`{f}`").cast("string"))
     return df.select(key.alias("conv_id"), turns.cast(TURNS).alias("turns"))
@@ -115,6 +114,10 @@ def _role(role):
     return out
 
 
+def _items(items, role: str, said: str):
+    return F.transform(items, lambda t: F.struct(_role(F.coalesce(t[role], F.lit(""))).alias("role"), F.coalesce(t[said], F.lit("")).alias("text")))
+
+
 def _parts(m: Mapping, read):
     """A turn per group of fields: its non-empty fields, a line each; groups without any are no turn."""
     turns = [F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[read(f) for f in names]), lambda x: x.isNotNull() & (x != "")), "\n").alias("text"))
@@ -135,7 +138,7 @@ def canonical_json(df: DataFrame, column: str, mappings=None) -> DataFrame:
         if m.kind == "list":
             array, role, said = m.fields
             items = F.try_variant_get(v, f"$.{array}", f"array<struct<`{role}`: string, `{said}`: string>>")
-            own = F.transform(items, lambda t, r=role, s=said: F.struct(_role(F.coalesce(t[r], F.lit(""))).alias("role"), F.coalesce(t[s], F.lit("")).alias("text")))
+            own = _items(items, role, said)
         else:
             own = _parts(m, lambda f: F.try_variant_get(v, f"$.{f}", "string"))
         layout = F.when(found == print_, F.lit(m.name)).otherwise(layout)

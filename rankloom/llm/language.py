@@ -63,7 +63,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", docs: int = TRA
         return {"langs": [], "table": np.zeros((0, CELLS), dtype=np.float32)}
     share = {r["lang"]: min(1.0, 1.25 * docs / r["n"]) for r in total}
     low = F.lit(-(1 << 63)).cast("long")
-    limit = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(-(1 << 63) + v * ((1 << 64) - 1)))) for k, v in share.items()))
+    limit = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min((1 << 63) - 1, int(-(1 << 63) + v * ((1 << 64) - 1))))) for k, v in share.items()))
     near = labelled.where((F.col("h") >= low) & (F.col("h") <= limit[F.col("lang")]))
     cut = near.groupBy("lang").agg(F.slice(rank, 1, docs).alias("kept")).select(
         F.col("lang").alias("cut_lang"), F.element_at("kept", -1).alias("cut"))

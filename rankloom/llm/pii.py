@@ -84,14 +84,14 @@ def _passes(kind: str, value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Matches of the fixed patterns that pass their checks, as (start, kind, end), in order."""
-    found = []
-    for number, (hint, pattern) in enumerate(PATTERNS):
-        kind = KINDS[number]
-        has = F.contains(text, F.lit(hint)) if hint == "@" else text.rlike(hint)
-        good = F.filter(_placed(_matches(text, pattern)), lambda m, k=kind: _passes(k, m["value"]))
-        spans = F.transform(good, lambda m, i=number: F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end")))
-        found.append(F.when(has, spans.cast(SPAN)).otherwise(F.array().cast(SPAN)))
-    return F.array_sort(F.concat(*found))
+    none = F.array().cast(SPAN)
+
+    def spans(number: int, hint: str, pattern: str) -> Column:
+        good = F.filter(_placed(_matches(text, pattern)), lambda m: _passes(KINDS[number], m["value"]))
+        placed = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")))
+        return F.when(F.contains(text, F.lit(hint)) if hint == "@" else text.rlike(hint), placed.cast(SPAN)).otherwise(none)
+
+    return F.array_sort(F.concat(*[spans(i, hint, pattern) for i, (hint, pattern) in enumerate(PATTERNS)]))
 
 
 def _shape(value: Column) -> Column:
