@@ -5,4 +5,4 @@ Nothing else in the library imports this package; it may be removed with `corpus
 from __future__ import annotations
 
 from rankloom.llm.registry import QUERIES, SQL  # noqa: F401
-from rankloom.llm import bpe, chat, language, pii, secrets, sketch, urls  # noqa: F401
+from rankloom.llm import bpe, chat, jaccard, language, pii, secrets, sketch, urls  # noqa: F401

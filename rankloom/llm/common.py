@@ -85,3 +85,11 @@ def group_count(df: DataFrame, least: int = 128) -> int:
     """Groups of an explicit regrouping, in proportion to the bytes scanned."""
     scanned = sum(runtime._leaf_bytes(df, scans_only=True))
     return max(least, -(-scanned // GROUP_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table written in the shared folder: the lineage ends, and so do the plan's
+    statistics and constraints, which checkpoints keep and loops would pile up."""
+    path = runtime.scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -32,14 +32,20 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from rankloom import runtime
-from rankloom.llm.common import group_count, shingle_hashes, slices, strings, words_of
+from rankloom.llm import graph
+from rankloom.llm.common import group_count, shingle_hashes, slices, stored, strings, words_of
 from rankloom.llm.registry import query, table
 
 # Least similarity, in percent.
 PERCENT = 80
 # Bits of a hash, and sets and n-grams of a batch at most (a longer set is a batch of its own).
 BITS, BATCH_SETS, BATCH_GRAMS = 48, 60_000, 3_000_000
+# Fragments (a power of two) in which the overlaps of candidate pairs are counted.
+PARTS = 4
+# Turns in which sets are compared with a pivot of their lists only.
+TURNS = 3
+# Stands for a null doc_id.
+NO_ID = (1 << 63) - 1
 # Sets of one batch that make an n-gram hot; MARK is the set number that stands for them.
 HOT, MARK, HOT_COUNT = 256, 65_535, 65_535
 
@@ -157,7 +163,7 @@ def _count(data: pa.Table) -> pa.Table:
     return pa.concat_tables([t.select(_NAMES).cast(_rows(f=[]).schema) for t in out])
 
 
-_SETS = "doc_id long, n long, hi long, lo long, alone int, prefix int, grams array<bigint>"
+_SETS = "doc_id long, n long, hi long, lo long, alone int, first array<bigint>, grams array<binary>"
 
 
 def _sets(data: pa.Table) -> pa.Table:
@@ -179,28 +185,136 @@ def _sets(data: pa.Table) -> pa.Table:
         cuts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
         for a, b in zip(cuts, np.append(cuts[1:], len(number))):
             shared[int(number[a])] = keys[a:b]
-    rows = {n: [] for n in ("alone", "prefix", "grams")}
+    rows = {n: [] for n in ("alone", "first", "grams")}
     for n, number in zip(docs.column("n").to_pylist(), docs.column("grams").to_pylist()):
         own = shared.get(int.from_bytes(number, "little")) if number is not None and n else None
         need = -(-PERCENT * n // 100)
         if own is None or len(own) < need:
-            own, prefix = None, None
-        else:
-            prefix = n - need + 1 - (n - len(own))
-        rows["alone"].append(None if own is None else n - len(own))
-        rows["prefix"].append(prefix)
-        rows["grams"].append(own)
+            for values in rows.values():
+                values.append(None)
+            continue
+        alone = n - len(own)
+        rows["alone"].append(alone)
+        rows["first"].append(own[:n - need + 1 - alone])
+        own = np.sort(own).astype(np.uint64)
+        cuts = np.searchsorted(own, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(BITS - PARTS.bit_length() + 1))
+        rows["grams"].append([pack(part) for part in np.split(own, cuts)])
     return pa.Table.from_arrays(
         [docs.column(c).combine_chunks() if len(docs) else pa.array([], pa.int64()) for c in ("doc_id", "n", "hi", "lo")]
-        + [pa.array(rows["alone"], pa.int32()), pa.array(rows["prefix"], pa.int32()), pa.array(rows["grams"], pa.list_(pa.int64()))],
-        names=["doc_id", "n", "hi", "lo", "alone", "prefix", "grams"])
+        + [pa.array(rows["alone"], pa.int32()), pa.array(rows["first"], pa.list_(pa.int64())), pa.array(rows["grams"], pa.list_(pa.binary()))],
+        names=["doc_id", "n", "hi", "lo", "alone", "first", "grams"])
 
 
 def shared_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: n, the class of its set (hi, lo) and, where a partner is possible, the n-grams
-    that lie in other sets too (ascending count, then hash), how many others it has, and how many of
-    these begin the list that must meet a partner's."""
-    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """Per document: n, the class of its set (hi, lo) and, where a partner is possible, `grams` (those
+    that lie in other sets too, packed by fragment), how many others it has (`alone`), and `first`:
+    the n-grams, in ascending count and hash, one of which a partner must have among its own first."""
+    # a null id stands last, so that it names a component only if all its ids are null
+    rows = df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cut = rows.mapInArrow(_cut(group_count(df)), _CUT)
     counted = cut.groupBy("f").applyInArrow(_count, _CUT)
     return counted.groupBy("batch").applyInArrow(_sets, _SETS)
+
+
+def _overlaps(batches):
+    """Partial overlaps of pairs in one fragment each."""
+    for batch in batches:
+        counts = [len(np.intersect1d(unpack(a), unpack(b), assume_unique=True)) for a, b in zip(batch.column("grams_x").to_pylist(), batch.column("grams_y").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("x", "y", "n")], pa.array(counts, pa.int64())], names=["x", "y", "n", "common"])
+
+
+def _verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (x, y) that are links, with the size of the intersection, from partial overlaps."""
+    of = lambda end: parts.select(F.col("node").alias(end), "part", F.col("grams").alias(f"grams_{end}"), F.col("n").alias(f"n_{end}"))
+    both = pairs.select("x", "y").join(of("x"), "x").join(of("y"), ["y", "part"])
+    counts = both.select("x", "y", (F.col("n_x") + F.col("n_y")).alias("n"), "grams_x", "grams_y").mapInArrow(_overlaps, "x long, y long, n long, common long")
+    return counts.groupBy("x", "y").agg(F.sum("common").alias("common"), F.first("n").alias("n")).where(
+        100 * F.col("common") >= PERCENT * (F.col("n") - F.col("common"))).select("x", "y", "common")
+
+
+# Two sets of a list can only be alike if sizes and what follows the shared n-gram allow it.
+_POSSIBLE = (f"100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) AND "
+             f"{100 + PERCENT} * least(a.behind, b.behind) >= {PERCENT} * (a.n + b.n)")
+
+
+class _Candidates:
+    """Lists of the sets that share one of their first n-grams."""
+
+    def __init__(self, sets: DataFrame, nodes: DataFrame):
+        alive = sets.where("grams IS NOT NULL").join(nodes, "doc_id", "left_semi")
+        self.parts = stored(alive.select(F.col("doc_id").alias("node"), "n", "alone", "first", F.posexplode("grams").alias("part", "grams")))
+        entries = self.parts.where("part = 0").select("node", "n", "alone", F.posexplode("first").alias("at", "gram"))
+        entries = entries.select("gram", "node", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("behind"))
+        lists = entries.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram")
+        self.entries = stored(entries.join(lists, "gram"))
+
+    def pairs(self, labels: DataFrame | None = None) -> DataFrame:
+        """All possible pairs; with labels (node, component), those of different components."""
+        e = self.entries
+        condition = "a.gram = b.gram AND a.node < b.node AND " + _POSSIBLE
+        if labels is not None:
+            e = self._labelled(labels)
+            mixed = e.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
+            e = stored(e.join(mixed, "gram", "left_semi"))
+            condition += " AND a.component <> b.component"
+        return e.alias("a").join(e.alias("b"), F.expr(condition)).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+
+    def spokes(self, labels: DataFrame, turn: int) -> DataFrame:
+        """At most one pair per set: with the pivot, of another component, that most of its lists have.
+
+        The first turn's pivots are the sets with the smallest share of n-grams of their own."""
+        e = self._labelled(labels)
+        rank = F.struct((F.col("behind") / F.col("n")).alias("share"), F.xxhash64("node").alias("h")) if turn == 0 else F.xxhash64("node", F.lit(turn))
+        pivots = e.groupBy("gram").agg(F.max_by(F.struct("node", "n", "behind", "component"), rank).alias("b"))
+        a = e.join(pivots, "gram").withColumn("a", F.struct("n", "behind")).where(F.col("component") != F.col("b.component")).where(_POSSIBLE)
+        best = a.groupBy("node", F.col("b.node").alias("pivot")).agg(F.count("*").alias("lists"))
+        chosen = best.groupBy("node").agg(F.max_by("pivot", F.struct("lists", "pivot")).alias("pivot"))
+        return chosen.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct()
+
+    def _labelled(self, labels: DataFrame) -> DataFrame:
+        return self.entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def classes(sets: DataFrame) -> DataFrame:
+    """(hi, lo, node): the smallest doc_id of each class of equal, non-empty sets."""
+    return sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"))
+
+
+def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links, between class representatives (x, y, common), and the membership (doc_id, n, node)."""
+    sets = stored(shared_sets(df, doc_id, text))
+    nodes = classes(sets)
+    found = _Candidates(sets, nodes.select(F.col("node").alias("doc_id")))
+    members = sets.select("doc_id", "n", "hi", "lo").join(nodes, ["hi", "lo"], "left")
+    return _verified(found.pairs(), found.parts), members.select(_id("doc_id"), "n", _id("node"))
+
+
+def _id(name: str):
+    return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
+
+
+def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    sets = stored(shared_sets(df, doc_id, text))
+    nodes = stored(classes(sets))
+    found = _Candidates(sets, nodes.select(F.col("node").alias("doc_id")))
+    labels = stored(found.entries.select("node").distinct().withColumn("component", F.col("node")))
+    turn = 0
+    while turn <= TURNS:
+        pairs = found.spokes(labels, turn) if turn < TURNS else found.pairs(labels)
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        new = stored(_verified(pairs, found.parts).join(of("x"), "x").join(of("y"), "y").select("of_x", "of_y"))
+        if not new.isEmpty():
+            merged = graph.components(new, "of_x", "of_y").select(F.col("node").alias("component"), F.col("component").alias("into"))
+            labels = stored(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+            turn += 1
+        else:
+            turn = TURNS if turn < TURNS else TURNS + 1
+    members = sets.select("doc_id", "n", "hi", "lo").join(nodes, ["hi", "lo"], "left").join(labels, "node", "left")
+    return members.select(_id("doc_id"), F.col("n").alias("n_shingles"),
+                          F.when(F.coalesce("component", "node", "doc_id") != NO_ID, F.coalesce("component", "node", "doc_id")).alias("component_id"))
+
+
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark, sf_dir):
+    return components(table(spark, sf_dir, "documents"))

@@ -19,8 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rankloom.llm.common import stored
 from rankloom.llm.registry import query, table
-from rankloom.runtime import durable
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 # What each expression needs, tested first, and the expression.
@@ -128,13 +128,13 @@ def patterns(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFI
     The graph has an edge for each pattern and value; counts are summed in tasks first, so a value
     or pattern of any frequency is one edge.  Copies of a text count once."""
     texts = scanned.where(F.size("tokens") > 0).groupBy("digest").agg(F.first("tokens").alias("tokens"))
-    edges = durable(texts.select(F.explode("tokens").alias("t")).groupBy("t.pattern", "t.value").agg(
+    edges = stored(texts.select(F.explode("tokens").alias("t")).groupBy("t.pattern", "t.value").agg(
         F.count("*").alias("n"), F.max(F.col("t.seed").cast("int")).alias("seed")))
     belief = edges.groupBy("value").agg(F.max("seed").cast("double").alias("belief"))
     for _ in range(rounds):
         scored = edges.join(belief, "value").groupBy("pattern").agg(
             (F.sum("belief") / (F.count("*") + SMOOTH)).alias("score"), F.sum("seed").alias("seeds"))
-        belief = durable(edges.join(scored, "pattern").groupBy("value").agg(
+        belief = stored(edges.join(scored, "pattern").groupBy("value").agg(
             F.greatest(F.max("seed").cast("double"), F.max("score")).alias("belief")))
     final = edges.join(belief, "value").groupBy("pattern").agg(
         (F.sum("belief") / (F.count("*") + SMOOTH)).alias("confidence"), F.sum("seed").alias("seeds"))
@@ -152,7 +152,7 @@ def discovered(scanned: DataFrame) -> DataFrame:
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace the text by base (spans of the fixed patterns) and spans (all), in order."""
-    scanned = durable(scan(df, text))
+    scanned = stored(scan(df, text))
     added = discovered(scanned)
     rows = scanned.drop("tokens").join(added, "digest", "left")
     return rows.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("context", F.array().cast(SPAN))))).drop("digest", "context")
@@ -180,7 +180,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     The found contexts (few texts have any) are joined to the rows by the text's digest."""
     # the text's own column goes through the join once; digests of copies may be a hot key, which adaptive joins split
     only = F.col(f"`{text}`")
-    scanned = durable(scan(df.select(only.alias(text)).where(only.rlike("[0-9@]")), text))
+    scanned = stored(scan(df.select(only.alias(text)).where(only.rlike("[0-9@]")), text))
     added = discovered(scanned).select(F.col("digest").alias("__digest"), "context")
     rows = df.withColumn("__key", F.md5(F.coalesce(only, F.lit("")))).join(added, F.col("__key") == F.col("__digest"), "left")
     spans = F.array_sort(F.concat(base_spans(only), F.coalesce("context", F.array().cast(SPAN))))
