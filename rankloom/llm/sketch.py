@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rankloom.llm.common import group_count, shingle_set, slices, strings
+from rankloom.llm import ranges
+from rankloom.llm.common import shingle_set, slices, strings
 from rankloom.llm.registry import query, table
 
 # Hashes kept: the standard error of a resemblance is at most 0.5 / sqrt(K).
@@ -145,17 +146,11 @@ def neighbours(df: DataFrame, function, schema: T.StructType, key: str = "doc_id
     keys come last; rows of one key are ordered by a hash of the text.  The texts move once, into
     ranges of the key.  The first row of a range also goes to the range before, whose last row needs
     it: which rows these are comes from the keys alone, one per range."""
-    spark = df.sparkSession
-    rows = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.col(key).cast("bigint").alias("key"),
-                     F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    parts = group_count(df)
-    # ranges 0, 1, ... of descending keys; `edges` are the smallest keys of all ranges but the last
-    cuts = rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"]
-    edges = np.unique(np.array(cuts or [], dtype=np.int64))[::-1]
-    share = spark.sparkContext.broadcast(edges)
+    rows = ranges.rows_of(df, key, text)
+    share = df.sparkSession.sparkContext.broadcast(ranges.edges_of(df, rows))
 
     def part_of(keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(-share.value.astype(np.float64), -keys.astype(np.float64), side="left")
+        return ranges.range_of(share.value, keys)
 
     def locate(batches):
         for batch in batches:
