@@ -181,7 +181,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     # the text's own column goes through the join once; digests of copies may be a hot key, which adaptive joins split
     only = F.col(f"`{text}`")
     scanned = stored(scan(df.select(only.alias(text)).where(only.rlike("[0-9@]")), text))
-    added = discovered(scanned).select(F.col("digest").alias("__digest"), "context")
+    added = stored(discovered(scanned).select(F.col("digest").alias("__digest"), "context"))  # of known size
     rows = df.withColumn("__key", F.md5(F.coalesce(only, F.lit("")))).join(added, F.col("__key") == F.col("__digest"), "left")
     spans = F.array_sort(F.concat(base_spans(only), F.coalesce("context", F.array().cast(SPAN))))
     return rows.select(*[(F.when(only.isNotNull(), masked(only, spans)).alias(text) if c == text else F.col(f"`{c}`")) for c in df.columns])
