@@ -16,13 +16,13 @@ def _last_sql(cols: str, keys: str) -> str:
     return f"(SELECT {cols} FROM events QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY ts DESC, event_id DESC) = 1)"
 
 
-@query("agg_12_pivot_matrix", f"""WITH e AS (SELECT * FROM events WHERE value > 100), last AS (SELECT user_id AS g, event_type AS i, value AS x
-  FROM e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)
+@query("agg_12_pivot_matrix", f"""WITH last AS (SELECT user_id AS g, event_type AS i,
+  CASE WHEN value > 100 THEN value END AS x FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)
   SELECT a.g, b.i, coalesce(x, -1) AS x FROM (SELECT DISTINCT g FROM last) a CROSS JOIN (SELECT DISTINCT i FROM last) b
   LEFT JOIN last l ON l.g = a.g AND l.i = b.i""", dbl="x", num="g")
 def _(t):
-    ev = t.events.where("value > 100").select(F.col("user_id").alias("g"), F.col("event_type").alias("i"),
-                                              F.col("value").alias("x"), "ts", "event_id")
+    ev = t.events.select(F.col("user_id").alias("g"), F.col("event_type").alias("i"),
+                         F.when(F.col("value") > 100, F.col("value")).alias("x"), "ts", "event_id")
     return A.pivot_matrix(ev, "g", "i", "x", _when())
 
 

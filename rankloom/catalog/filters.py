@@ -89,12 +89,12 @@ def _(t):
     return a.unionByName(b).select((F.col("g") % 5 == 0).alias("test"), "g", "i", "y")
 
 
-@query("flt_10_complete_groups", """WITH m AS (SELECT user_id AS g, event_type AS f, max(value) AS x FROM events
-  WHERE value > 120 GROUP BY 1, 2) SELECT * FROM m WHERE g IN (SELECT g FROM m GROUP BY g HAVING count(x) = 5)""",
+@query("flt_10_complete_groups", """WITH m AS (SELECT user_id AS g, event_type AS f, max(CASE WHEN value > 120 THEN value END) AS x
+  FROM events GROUP BY 1, 2) SELECT * FROM m WHERE g IN (SELECT g FROM m GROUP BY g HAVING count(x) = 5)""",
        dbl="x", num="g")
 def _(t):
-    m = (t.events.where("value > 120").groupBy(F.col("user_id").alias("g"), F.col("event_type").alias("f"))
-         .agg(F.max("value").alias("x")))
+    m = (t.events.groupBy(F.col("user_id").alias("g"), F.col("event_type").alias("f"))
+         .agg(F.max(F.when(F.col("value") > 120, F.col("value"))).alias("x")))
     return X.complete_groups(m, 5)
 
 

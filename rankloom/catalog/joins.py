@@ -56,13 +56,13 @@ def _(t):
 
 
 _SOURCES = """ids AS (SELECT s_suppkey AS g FROM supplier UNION SELECT user_id FROM events),
-  a AS (SELECT s_suppkey AS g, s_name FROM supplier), b AS (SELECT DISTINCT user_id AS g, event_type FROM events
-  WHERE value > 100)"""
+  a AS (SELECT s_suppkey AS g, s_name FROM supplier), b AS (SELECT DISTINCT user_id AS g,
+  CASE WHEN value > 100 THEN event_type END AS event_type FROM events)"""
 
 
 def _sources(t):
     a = t.supplier.select(F.col("s_suppkey").alias("g"), "s_name")
-    b = t.events.where("value > 100").select(F.col("user_id").alias("g"), "event_type").distinct()
+    b = t.events.select(F.col("user_id").alias("g"), F.when(F.col("value") > 100, F.col("event_type")).alias("event_type")).distinct()
     return J.all_keys(a, t.events.select(F.col("user_id").alias("g")), key="g"), a, b
 
 

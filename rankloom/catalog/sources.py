@@ -24,9 +24,11 @@ def _text(t, df, name, header=True, sep=",", compression="none"):
     return path
 
 
-def _wide(t, cond="value > 100", value=None):
-    return (t.events.where(cond).groupBy(F.col("user_id").cast("string").alias("id"))
-            .pivot("event_type", TYPES).agg(F.max("value") if value is None else value))
+def _wide(t, value=None):
+    """A row per user, a column per type; cells that never exceed 100 are holes."""
+    high = F.max(F.when(F.col("value") > 100, F.col("value")))
+    return (t.events.groupBy(F.col("user_id").cast("string").alias("id"))
+            .pivot("event_type", TYPES).agg(high if value is None else value))
 
 
 _MAX = "SELECT CAST(user_id AS VARCHAR) AS {g}, event_type AS {i}, max(value) AS {y} FROM events WHERE value > 100 GROUP BY 1, 2"
@@ -47,7 +49,7 @@ def _(t):
 
 
 def _flags(t):
-    return _wide(t, "true", F.max((F.col("value") > 150).cast("int")))
+    return _wide(t, F.max((F.col("value") > 150).cast("int")))
 
 
 _EVENTS = "SELECT {a}, {b}, max(CASE WHEN value > 150 THEN 1 ELSE 0 END) AS x FROM events GROUP BY user_id, event_type"
@@ -63,12 +65,12 @@ def _(t):
     return R.read_events(t.spark, _text(t, _flags(t), "events", sep="\t"), "columns")
 
 
-@query("src_04_read_region", """SELECT CAST(user_id AS VARCHAR) AS g, 'user ' || user_id AS g_name,
+@query("src_04_read_region", """SELECT CAST(user_id AS VARCHAR) AS g, 'user, ' || user_id AS g_name,
   'D' || (ord(event_type[1]) % 10) AS i, event_type AS i_name, max(value) AS y FROM events WHERE value > 100
   GROUP BY user_id, event_type""", dbl="y")
 def _(t):
     body = _wide(t).select(F.pmod(F.xxhash64("id"), F.lit(FILES)).alias("sheet"), F.lit(9).alias("n"), F.array_join(
-        F.array("id", F.concat(F.lit("user "), "id"), *[F.col(c).cast("string") for c in TYPES]), ",", "NA").alias("value"))
+        F.array("id", F.concat(F.lit('"user, '), "id", F.lit('"')), *[F.col(c).cast("string") for c in TYPES]), ",", "NA").alias("value"))
     rows = [""] * 4 + [",".join(["id", "name"] + [f"D{ord(c[0]) % 10}" for c in TYPES]), ",".join(["", ""] + TYPES)]
     top = t.spark.createDataFrame(list(enumerate(rows)), "n int, value string")
     heads = top.withColumn("sheet", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FILES - 1).cast("long"))))

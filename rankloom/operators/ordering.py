@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankloom.functions.random import key_hash
-from rankloom.runtime import durable, hot_groups, shuffle_partitions
+from rankloom.runtime import durable, hot_groups, join_groups, shuffle_partitions
 
 # Spark cuts groups on the map side up to this k (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
+# Rows of a bucket of a random order, on average at most.
+BUCKET_ROWS = 1_000_000
 
 
 def score_order(score: str, item: str = "i") -> list[Column]:
@@ -28,9 +32,8 @@ def grouped_rank(df: DataFrame, by: list[str], order: list[Column], out: str = "
     hot = hot_groups(df, by, hot_rows)
     if hot is None:
         return df.withColumn(out, F.row_number().over(window).cast("long"))
-    keys = F.broadcast(hot)  # at most HOT_GROUP_KEYS rows
-    cold = df.join(keys, by, "left_anti").withColumn(out, F.row_number().over(window).cast("long"))
-    ranked = _ranged_rank(df.join(keys, by, "left_semi"), by, order, out)
+    cold = join_groups(df, hot, by, "left_anti").withColumn(out, F.row_number().over(window).cast("long"))
+    ranked = _ranged_rank(join_groups(df, hot, by, "left_semi"), by, order, out)
     return cold.unionByName(ranked)
 
 
@@ -48,8 +51,7 @@ def _ranged_rank(df: DataFrame, by: list[str], order: list[Column], out: str) ->
         F.coalesce(F.sum("__size").over(before.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("__shift"))
     local = Window.partitionBy("__piece", *by).orderBy(*order)
-    return (pieces.withColumn("__local", F.row_number().over(local))
-            .join(shifts, ["__piece", *by])
+    return (join_groups(pieces.withColumn("__local", F.row_number().over(local)), shifts, ["__piece", *by])
             .select(*cols, (F.col("__local") + F.col("__shift")).cast("long").alias(out)))
 
 
@@ -60,12 +62,15 @@ def dense_index(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
 
 
 def hash_rank(df: DataFrame, key: str, seed, out: str = "rn", total: str = "n",
-              by: list[str] | None = None, digits: int = 3) -> DataFrame:
+              by: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """1-based position of every row in a keyed random order, with the row count.
 
     The digest is uniform, so its first hex digits cut the order into equal buckets; the
-    bucket counts (a table of fixed length per `by` value) give each bucket its offset."""
+    bucket counts give each bucket its offset.  There are as many digits as buckets of at most
+    BUCKET_ROWS rows need, by a count of the rows."""
     by = by or []
+    if digits is None:
+        digits = max(2, math.ceil(math.log(max(1, df.count() / BUCKET_ROWS), 16)))
     tagged = (df.withColumn("__h", key_hash(seed, *by, key))
               .withColumn("__b", F.substring("__h", 1, digits)))
     counts = tagged.groupBy(*by, "__b").agg(F.count("*").alias("__size"))
@@ -77,7 +82,7 @@ def hash_rank(df: DataFrame, key: str, seed, out: str = "rn", total: str = "n",
         F.sum("__size").over(line).alias(total))
     local = Window.partitionBy(*by, "__b").orderBy("__h", key)
     return (tagged.withColumn("__local", F.row_number().over(local))
-            .join(shifts, [*by, "__b"])
+            .transform(lambda d: join_groups(d, shifts, [*by, "__b"]))
             .withColumn(out, (F.col("__local") + F.col("__shift")).cast("long"))
             .drop("__h", "__b", "__local", "__shift"))
 
@@ -120,7 +125,7 @@ def exact_median(df: DataFrame, by: list[str], value: str, out: str = "median",
     lo = F.floor((F.col("__t") + 1) / 2)
     hi = F.ceil((F.col("__t") + 1) / 2)
     covers = lambda r: (F.col("__end") - F.col("__m") < r) & (r <= F.col("__end"))
-    med = (running.join(total, by)
+    med = (join_groups(running, total, by)
            .where(covers(lo) | covers(hi))
            .groupBy(*by).agg(((F.min(value) + F.max(value)) / 2).alias(out)))
     return med.drop("__all") if plain else med
@@ -132,10 +137,9 @@ def _running_count(spots: DataFrame, by: list[str], value: str, hot_rows: int |
     window = Window.partitionBy(*by).orderBy(value)
     if hot is None:
         return spots.withColumn("__end", F.sum("__m").over(window))
-    keys = F.broadcast(hot)  # at most HOT_GROUP_KEYS rows
-    cold = spots.join(keys, by, "left_anti").withColumn("__end", F.sum("__m").over(window))
+    cold = join_groups(spots, hot, by, "left_anti").withColumn("__end", F.sum("__m").over(window))
     pieces = durable(
-        spots.join(keys, by, "left_semi")
+        join_groups(spots, hot, by, "left_semi")
         .repartitionByRange(shuffle_partitions(spots), *by, value)
         .withColumn("__piece", F.spark_partition_id()))
     before = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,6 +147,6 @@ def _running_count(spots: DataFrame, by: list[str], value: str, hot_rows: int |
               .select("__piece", *by, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__shift")))
     local = Window.partitionBy("__piece", *by).orderBy(value)
     warm = (pieces.withColumn("__run", F.sum("__m").over(local))
-            .join(shifts, ["__piece", *by])
+            .transform(lambda d: join_groups(d, shifts, ["__piece", *by]))
             .select(*spots.columns, (F.col("__run") + F.col("__shift")).alias("__end")))
     return cold.unionByName(warm)

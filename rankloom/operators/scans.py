@@ -9,6 +9,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rankloom.runtime import join_groups
+
 CHUNK = 65_536
 
 
@@ -46,7 +48,7 @@ def discounted_suffix(df: DataFrame, by: list[str], step: str, values: dict[str,
         *[F.sum(F.col(f"__v_{o}") * weight).alias(f"__h_{o}") for o in outs])
     carry = _carry(heads, by, outs, float(gamma) ** size)
     reach = F.pow(F.lit(float(gamma)), F.lit(size) - F.col("__off"))
-    return (local.join(carry, [*by, "__chunk"], "left")
+    return (join_groups(local, carry, [*by, "__chunk"], "left")
             .select(*cols, *[(F.col(f"__l_{o}") + reach * F.coalesce(F.col(f"__c_{o}"), F.lit(0.0)))
                              .alias(o) for o in outs]))
 
@@ -98,7 +100,7 @@ def prefix_scan(df: DataFrame, by: list[str], step: str, exprs: dict[str, tuple[
         here, prior = F.col(f"__l_{out}"), F.col(f"__c_{out}")
         return F.coalesce(_COMBINE[kind][1](here, prior), here, prior).alias(out)
 
-    return (local.join(carry, [*by, "__chunk"])
+    return (join_groups(local, carry, [*by, "__chunk"])
             .select(*cols, *[joined(o, kind) for o, (kind, _) in exprs.items()]))
 
 
@@ -114,7 +116,7 @@ def next_value(df: DataFrame, by: list[str], step: str, values: dict[str, str],
     firsts = (base.groupBy(*by, "__chunk")
               .agg(*[F.min_by(v, step).alias(f"__f_{o}") for o, v in values.items()])
               .withColumn("__chunk", F.col("__chunk") - 1))
-    return (local.join(firsts, [*by, "__chunk"], "left")
+    return (join_groups(local, firsts, [*by, "__chunk"], "left")
             .select(*cols, *[F.when(F.col("__more") == 1, F.col(f"__n_{o}"))
                              .otherwise(F.col(f"__f_{o}")).alias(o) for o in values]))
 

@@ -7,16 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Below this many scanned bytes one task can hold any single group.
-SMALL_INPUT_BYTES = 128 * 1024 * 1024
-# A group with fewer rows than this is never treated as hot.
+# A group with fewer rows than this fits in one task.
 HOT_GROUP_ROWS = 2_000_000
-# Only the largest groups can be hot: by the pigeonhole rule every other group holds
-# less than 1 / HOT_GROUP_KEYS of the rows, and the key list stays this short.
-HOT_GROUP_KEYS = 10_000
-# Input bytes per task, and the most tasks, of an explicit repartition.
+# Hot keys that are broadcast; more of them are joined by a shuffle.
+BROADCAST_KEYS = 10_000
+# Input bytes per task of an explicit repartition.
 TASK_BYTES = 128 * 1024 * 1024
-MAX_TASKS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,12 +43,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the pruned scans below a DataFrame.  The estimate of the whole plan is not
-    used, because without column statistics it multiplies the sides of a join."""
-    return sum(_leaf_bytes(df))
-
-
 def _leaf_bytes(df: DataFrame, scans_only: bool = False) -> list[int]:
     found = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     leaves = [found.apply(n) for n in range(found.size())]
@@ -61,30 +51,25 @@ def _leaf_bytes(df: DataFrame, scans_only: bool = False) -> list[int]:
     return [int(str(l.stats().sizeInBytes())) for l in leaves]
 
 
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    return input_bytes(df) <= limit
-
-
 def hot_groups(df: DataFrame, by: list[str], floor_rows: int | None = None) -> DataFrame | None:
     """Keys of the groups too large for one task, or None.
 
-    Small inputs are passed without a job.  Otherwise one map-side-combined count
-    finds them; at most HOT_GROUP_KEYS keys come back to the driver."""
-    if floor_rows is None:
-        if is_small(df):
-            return None
-        floor_rows = HOT_GROUP_ROWS
-    keys = (
-        df.groupBy(*by).agg(F.count("*").alias("__n"))
-        .filter(F.col("__n") > floor_rows)
-        .orderBy(F.col("__n").desc())
-        .limit(HOT_GROUP_KEYS)
-        .select(*by)
-    )
-    rows = keys.collect()
-    if not rows:
+    One count, summed in the tasks first, finds them.  The keys stay a table, however many."""
+    floor_rows = HOT_GROUP_ROWS if floor_rows is None else floor_rows
+    keys = durable(df.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > floor_rows).select(*by))
+    found = keys.count()
+    if not found:
         return None
-    return df.sparkSession.createDataFrame(rows, keys.schema)
+    return F.broadcast(keys) if found <= BROADCAST_KEYS else keys
+
+
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on group keys that keeps the NULL group, as GROUP BY does."""
+    there = right.withColumnsRenamed({c: f"__key_{c}" for c in by})
+    condition = F.lit(True)
+    for c in by:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"__key_{c}"))
+    return left.join(there, condition, how).drop(*[f"__key_{c}" for c in by])
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -92,4 +77,4 @@ def shuffle_partitions(df: DataFrame) -> int:
     give them over TASK_BYTES each."""
     # only stored tables report a true size
     wanted = -(-sum(_leaf_bytes(df, scans_only=True)) // TASK_BYTES)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, MAX_TASKS))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import re
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions.scalars import nan_to_null
 from rankloom.operators.ordering import grouped_rank, top_k
+from rankloom.runtime import shuffle_partitions
 
 MISSING = "NA"
 
@@ -92,21 +95,34 @@ def _numbered(lines: DataFrame) -> DataFrame:
     return grouped_rank(lines, ["file"], [F.col("block").asc(), F.col("at").asc()], "line")
 
 
+def _cells(line, width: int, sep: str):
+    """The cells of a line as an array, by the rules of CSV (quotes, escapes); missing ones are NULL."""
+    row = F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"sep": sep, "mode": "PERMISSIVE"})
+    return F.array(*[row[f"c{i}"] for i in range(width)])
+
+
+def _width(lines: DataFrame, sep: str) -> int:
+    """The most cells that any of the lines can have."""
+    return lines.agg(F.max(F.size(F.split("value", re.escape(sep))))).first()[0] or 1
+
+
 def read_region(spark: SparkSession, path: str, id_row: int = 5, name_row: int = 6, first_row: int = 7,
                 key_cols: int = 2, sep: str = ",") -> DataFrame:
     """Rectangular sheet region: item ids and names in two header lines, group id and name in
     the first columns, values in the body -> (g, g_name, i, i_name, y)."""
     lines = _lines(spark, path)
     top = _first_lines(lines, max(id_row, name_row))
+    width = _width(top, sep)
+    cells = lambda: F.transform(_cells(F.col("value"), width, sep), lambda c: F.coalesce(c, F.lit("")))
 
     def header(line: int, out: str) -> DataFrame:
         return top.where(F.col("line") == line).select(
-            "file", F.posexplode(F.split("value", sep)).alias("pos", out))
+            "file", F.posexplode(cells()).alias("pos", out))
 
     heads = (header(id_row, "i").join(header(name_row, "i_name"), ["file", "pos"])
              .where(F.col("pos") >= key_cols))
     body = (_after(lines, first_row - 1).where("value <> ''")
-            .select("file", F.split("value", sep).alias("v"))
+            .select("file", cells().alias("v"))
             .select("file", F.col("v")[0].alias("g"), F.col("v")[key_cols - 1].alias("g_name"),
                     F.posexplode("v").alias("pos", "cell")))
     value = F.when(F.col("cell") != MISSING, F.col("cell").try_cast("double"))
@@ -116,10 +132,10 @@ def read_region(spark: SparkSession, path: str, id_row: int = 5, name_row: int =
 
 def read_thresholds(spark: SparkSession, thresholds: str, items: str, sep: str = ",") -> DataFrame:
     """A line of thresholds and a column of item ids, paired by position."""
-    thr = (_first_lines(_lines(spark, thresholds), 1)
-           .select(F.posexplode(F.split("value", sep)).alias("pos", "thr")))
+    line = _first_lines(_lines(spark, thresholds), 1)
+    thr = line.select(F.posexplode(_cells(F.col("value"), _width(line, sep), sep)).alias("pos", "thr"))
     ids = (_numbered(_lines(spark, items).where("value <> ''"))
-           .select((F.col("line") - 1).alias("pos"), F.trim("value").alias("i")))
+           .select((F.col("line") - 1).alias("pos"), F.trim(_cells(F.col("value"), 1, sep)[0]).alias("i")))
     return ids.join(thr, "pos").select("i", F.col("thr").try_cast("double").alias("thr"))
 
 
@@ -137,11 +153,12 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t", comment: str
         cells = raw.select(*raw.columns[skip_cols:])
     else:
         kept = _after(_lines(spark, path).where(~F.col("value").startswith(comment)), skip_rows)
-        parts = F.split("value", sep)
-        width = len(names) + skip_cols if names else kept.select(F.size(parts)).first()[0]
+        first = kept.first()
+        width = len(names) + skip_cols if names else len(next(csv.reader([first["value"]], delimiter=sep, escapechar="\\"))) if first else 0
+        parts = _cells(F.col("value"), max(width, 1), sep)
         cells = kept.select(*[parts[i].alias(f"_c{i}") for i in range(skip_cols, width)])
     if path.endswith(".gz"):
-        cells = cells.repartition(spark.sparkContext.defaultParallelism)
+        cells = cells.repartition(shuffle_partitions(cells))
     return cells.toDF(*names) if names else cells
 
 

@@ -21,6 +21,4 @@ def spark():
 def no_small_inputs(monkeypatch):
     """Treat every group of more than three rows as hot, so that the split paths run."""
     from rankloom import runtime
-    monkeypatch.setattr(runtime, "SMALL_INPUT_BYTES", -1)
     monkeypatch.setattr(runtime, "HOT_GROUP_ROWS", 3)
-    monkeypatch.setattr(runtime, "is_small", lambda df, limit=0: False)

@@ -19,7 +19,7 @@ def test_hot_groups_are_found(spark):
     keys = runtime.hot_groups(skewed(spark), ["g"], 500)
     assert [r.g for r in keys.collect()] == [0]
     assert runtime.hot_groups(skewed(spark), ["g"], 5000) is None
-    assert runtime.hot_groups(skewed(spark), ["g"]) is None  # small input: no job, no keys
+    assert runtime.hot_groups(skewed(spark), ["g"]) is None  # no group of two million rows
 
 
 def test_ranks(spark):
