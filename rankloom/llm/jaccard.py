@@ -223,8 +223,17 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("x", "y", "n")], pa.array(counts, pa.int64())], names=["x", "y", "n", "common"])
 
 
-def _verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (x, y) that are links, with the size of the intersection, from partial overlaps."""
+def _verified(pairs: DataFrame, heads: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (x, y) that are links, with the size of the intersection, from partial overlaps.
+
+    What two sets share up to the end of one's first n-grams lies among the first of both; what comes
+    after is at most the rest of that set.  So alike sets share more than one of their first n-grams,
+    the more the closer their sizes are, and pairs with fewer are not counted out."""
+    head = lambda end: heads.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("first").alias(f"first_{end}"))
+    enough = F.expr(f"size(array_intersect(first_x, first_z)) + ceil({PERCENT} * greatest(n_x, n_z) / 100) - 1 >= "
+                    f"ceil({PERCENT} * (n_x + n_z) / {100 + PERCENT})")
+    near = pairs.select("x", "y").join(head("x"), "x")
+    pairs = near.join(head("z"), F.expr("y = z") & enough).select("x", "y")
     of = lambda end: parts.select(F.col("node").alias(end), "part", F.col("grams").alias(f"grams_{end}"), F.col("n").alias(f"n_{end}"))
     both = pairs.select("x", "y").join(of("x"), "x").join(of("y"), ["y", "part"])
     counts = both.select("x", "y", (F.col("n_x") + F.col("n_y")).alias("n"), "grams_x", "grams_y").mapInArrow(_overlaps, "x long, y long, n long, common long")
@@ -242,8 +251,10 @@ class _Candidates:
 
     def __init__(self, sets: DataFrame, nodes: DataFrame):
         alive = sets.where("grams IS NOT NULL").join(nodes, "doc_id", "left_semi")
-        self.parts = stored(alive.select(F.col("doc_id").alias("node"), "n", "alone", "first", F.posexplode("grams").alias("part", "grams")))
-        entries = self.parts.where("part = 0").select("node", "n", "alone", F.posexplode("first").alias("at", "gram"))
+        alive = stored(alive.select(F.col("doc_id").alias("node"), "n", "alone", "first", "grams"))
+        self.heads = alive.select("node", "n", "first")
+        self.parts = alive.select("node", "n", F.posexplode("grams").alias("part", "grams"))
+        entries = alive.select("node", "n", "alone", F.posexplode("first").alias("at", "gram"))
         entries = entries.select("gram", "node", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("behind"))
         lists = entries.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram")
         self.entries = stored(entries.join(lists, "gram"))
@@ -286,7 +297,7 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Da
     nodes = classes(sets)
     found = _Candidates(sets, nodes.select(F.col("node").alias("doc_id")))
     members = sets.select("doc_id", "n", "hi", "lo").join(nodes, ["hi", "lo"], "left")
-    return _verified(found.pairs(), found.parts), members.select(_id("doc_id"), "n", _id("node"))
+    return _verified(found.pairs(), found.heads, found.parts), members.select(_id("doc_id"), "n", _id("node"))
 
 
 def _id(name: str):
@@ -303,7 +314,7 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     while turn <= TURNS:
         pairs = found.spokes(labels, turn) if turn < TURNS else found.pairs(labels)
         of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-        new = stored(_verified(pairs, found.parts).join(of("x"), "x").join(of("y"), "y").select("of_x", "of_y"))
+        new = stored(_verified(pairs, found.heads, found.parts).join(of("x"), "x").join(of("y"), "y").select("of_x", "of_y"))
         if not new.isEmpty():
             merged = graph.components(new, "of_x", "of_y").select(F.col("node").alias("component"), F.col("component").alias("into"))
             labels = stored(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
