@@ -33,7 +33,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 4_000_000
 # Units remembered per Python worker; the store is emptied when full.
-MEMORY_UNITS = 400_000
+MEMORY_UNITS = 500_000
 
 BLOCKS = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, ids bigint, ranks binary, control binary, data binary"
 
@@ -41,13 +41,30 @@ BLOCKS = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, ids
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.uint8)
 
 
+def _signs() -> dict[int, str]:
+    """The printable sign that byte-level vocabularies write for each byte: itself where it is one,
+    else the next one from 256 on."""
+    printable = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+SIGNS = _signs()
+
+
 def code(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(ranks, control, data) of the ids of a block."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    top = int(ids.max(initial=0)) + 1
+    if top <= 1 << 22:  # a table of all ids is small
+        tally = np.bincount(ids, minlength=top)
+        values, spot = np.flatnonzero(tally), ids
+        counts = tally[values]
+    else:
+        values, spot, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")
-    place = np.empty(len(values), dtype="<u4")
-    place[order] = np.arange(len(values), dtype="<u4")
-    codes = place[inverse]
+    place = np.empty(top if spot is ids else len(values), dtype="<u4")
+    place[values[order] if spot is ids else order] = np.arange(len(values), dtype="<u4")
+    codes = place[spot]
     sizes = (codes >= 1 << 8).astype(np.uint8) + (codes >= 1 << 16) + (codes >= 1 << 24)
     padded = np.zeros(-(-len(codes) // 4) * 4, dtype=np.uint8)
     padded[:len(codes)] = sizes
@@ -67,7 +84,7 @@ def decode(ranks: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """The library's tokenizer, asked once for each unit of text."""
+    """The library's tokenizer, whose model is asked once for each match of the split pattern."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,36 +93,43 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.known: dict[str, np.ndarray] = {}
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        ids = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        self.four = [int(i).to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.marks = {m: ids(m).tobytes() for m in ".,;:!?"}
 
     def _learn(self, new: list[str]) -> None:
-        # units without white space at the end join to one text, with line feeds between that stay tokens of their own
-        plain = [u for u in new if "\n" not in u and not u[-1].isspace()]
-        rest = [u for u in new if "\n" in u or u[-1].isspace()]
-        for start in range(0, len(plain), 4096):
-            some = plain[start:start + 4096]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.feed[0])
-            if len(cuts) != len(some) - 1:
-                rest += some
-                continue
-            begins, ends = np.concatenate(([0], cuts + 1)).tolist(), np.append(cuts, len(ids)).tolist()
-            raw = ids.tobytes()
-            self.known.update((u, raw[4 * b:4 * e]) for u, b, e in zip(some, begins, ends))
-        for start in range(0, len(rest), 4096):
-            some = rest[start:start + 4096]
-            for u, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[u] = np.array(e.ids, dtype="<u4").tobytes()
+        # a letter and a mark after it are always cut apart, so words with marks are made of what is known of both
+        marked = [u for u in new if len(u) > 1 and u[-1] in self.marks and u[-2].isascii() and u[-2].isalpha()]
+        whole = set(new).difference(marked) | {u[:-1] for u in marked if u[:-1] not in self.known}
+        split = {}
+        for u in whole:
+            body = u[1:] if u[0] == " " else u
+            split[u] = (u,) if body and max(body) < "\u0250" and body.isalpha() else self.pattern.findall(u)
+        model, four = self.tokenizer.model, self.four
+        for piece in {p for parts in split.values() for p in parts if p not in self.known}:
+            plain = piece.isascii() and piece[-1].isalpha() and piece.isprintable()  # a space at most needs a sign
+            signs = piece.replace(" ", SIGNS[32]) if plain else piece.encode("utf-8").decode("latin-1").translate(SIGNS)
+            self.known[piece] = b"".join([four[t.id] for t in model.tokenize(signs)])
+        for u, parts in split.items():
+            if len(parts) > 1:
+                self.known[u] = b"".join(map(self.known.__getitem__, parts))
+        for u in marked:
+            self.known[u] = self.known[u[:-1]] + self.marks[u[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of unsigned 32-bit integers."""
-        cut = [units(t, self.pattern) for t in texts]
         if len(self.known) > MEMORY_UNITS:
             self.known.clear()
-        new = list({u for u in chain.from_iterable(cut) if u not in self.known})
+        cut = [units(t, self.pattern) for t in texts]
+        got = [list(map(self.known.get, us)) for us in cut]
+        missing = [[i for i, ids in enumerate(g) if ids is None] if None in g else () for g in got]
+        new = list({us[i] for us, at in zip(cut, missing) for i in at})
         if new:
             self._learn(new)
-        return [b"".join(map(self.known.__getitem__, us)) for us in cut]
+            for us, g, at in zip(cut, got, missing):
+                for i in at:
+                    g[i] = self.known[us[i]]
+        return list(map(b"".join, got))
 
 
 @lru_cache(maxsize=2)

@@ -289,7 +289,7 @@ def test_redaction(spark, odd, nothing):
     rows = {r.doc_id: r for r in pii.redact(odd.where("doc_id > 7").withColumns({"spans": F.lit(1), "base": F.lit("b"), "digest": F.lit(2)})).collect()}
     assert rows[9].text == "mail <EMAIL>, <PHONE> at <IP> or <CARD>" and (rows[9].spans, rows[9].base, rows[9].digest) == (1, "b", 2)
     assert rows[8].text == ODD[9][1]
-    assert sorted(r.text or "~" for r in pii.redact(odd.where("doc_id < 8 or doc_id is null")).collect()) == sorted(t if t is not None else "~" for i, t in ODD if i is None or i < 8)
+    assert sorted(r.text if r.text is not None else "~" for r in pii.redact(odd.where("doc_id < 8 or doc_id is null")).collect()) == sorted(t if t is not None else "~" for i, t in ODD if i is None or i < 8)
     assert pii.redact(nothing).count() == 0
 
 
