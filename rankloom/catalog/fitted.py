@@ -74,7 +74,7 @@ def _(t):
 
 @query("rank_16_surrogate")
 def _(t):
-    rows, losses = rank_surrogate(scored(t).withColumn("s", F.col("s") / 10), 3)
+    rows, losses = rank_surrogate(scored(t).withColumn("s", F.col("s") / 10), 10)
     return rows.join(losses, "g")
 
 
@@ -90,7 +90,7 @@ def _start_weights(t):
 
 @query("rank_17_surrogate_gradient")
 def _(t):
-    grad, _ = surrogate_gradient(scored(t), _kernel_features(t), _start_weights(t), 3)
+    grad, _ = surrogate_gradient(scored(t), _kernel_features(t), _start_weights(t), 10)
     return grad
 
 
