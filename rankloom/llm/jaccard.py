@@ -217,10 +217,12 @@ def shared_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def _overlaps(batches):
-    """Partial overlaps of pairs in one fragment each."""
+    """Partial overlaps of pairs, one per fragment."""
     for batch in batches:
-        counts = [len(np.intersect1d(unpack(a), unpack(b), assume_unique=True)) for a, b in zip(batch.column("grams_x").to_pylist(), batch.column("grams_y").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("x", "y", "n")], pa.array(counts, pa.int64())], names=["x", "y", "n", "common"])
+        counts = [[len(np.intersect1d(unpack(a), unpack(b), assume_unique=True)) for a, b in zip(x, y)]
+                  for x, y in zip(batch.column("grams_x").to_pylist(), batch.column("grams_y").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("x", "y", "n")], pa.array(counts, pa.list_(pa.int64()))],
+                                         names=["x", "y", "n", "common"])
 
 
 def _verified(pairs: DataFrame, heads: DataFrame, parts: DataFrame) -> DataFrame:
@@ -234,10 +236,12 @@ def _verified(pairs: DataFrame, heads: DataFrame, parts: DataFrame) -> DataFrame
                     f"ceil({PERCENT} * (n_x + n_z) / {100 + PERCENT})")
     near = pairs.select("x", "y").join(head("x"), "x")
     pairs = near.join(head("z"), F.expr("y = z") & enough).select("x", "y")
-    of = lambda end: parts.select(F.col("node").alias(end), "part", F.col("grams").alias(f"grams_{end}"), F.col("n").alias(f"n_{end}"))
-    both = pairs.select("x", "y").join(of("x"), "x").join(of("y"), ["y", "part"])
-    counts = both.select("x", "y", (F.col("n_x") + F.col("n_y")).alias("n"), "grams_x", "grams_y").mapInArrow(_overlaps, "x long, y long, n long, common long")
-    return counts.groupBy("x", "y").agg(F.sum("common").alias("common"), F.first("n").alias("n")).where(
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("grams").alias(f"grams_{end}"), F.col("n").alias(f"n_{end}"))
+    both = pairs.select("x", "y").join(of("x"), "x").join(of("y"), "y")
+    counts = both.select("x", "y", (F.col("n_x") + F.col("n_y")).alias("n"), "grams_x", "grams_y").mapInArrow(
+        _overlaps, "x long, y long, n long, common array<bigint>")
+    whole = F.aggregate("common", F.lit(0).cast("bigint"), lambda total, part: total + part)
+    return counts.select("x", "y", "n", whole.alias("common")).where(
         100 * F.col("common") >= PERCENT * (F.col("n") - F.col("common"))).select("x", "y", "common")
 
 
@@ -253,7 +257,7 @@ class _Candidates:
         alive = sets.where("grams IS NOT NULL").join(nodes, "doc_id", "left_semi")
         alive = stored(alive.select(F.col("doc_id").alias("node"), "n", "alone", "first", "grams"))
         self.heads = alive.select("node", "n", "first")
-        self.parts = alive.select("node", "n", F.posexplode("grams").alias("part", "grams"))
+        self.parts = alive.select("node", "n", "grams")
         entries = alive.select("node", "n", "alone", F.posexplode("first").alias("at", "gram"))
         entries = entries.select("gram", "node", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("behind"))
         lists = entries.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram")
