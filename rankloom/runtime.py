@@ -56,11 +56,13 @@ def hot_groups(df: DataFrame, by: list[str], floor_rows: int | None = None) -> D
 
     One count, summed in the tasks first, finds them.  The keys stay a table, however many."""
     floor_rows = HOT_GROUP_ROWS if floor_rows is None else floor_rows
-    keys = durable(df.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > floor_rows).select(*by))
-    found = keys.count()
-    if not found:
+    keys = df.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > floor_rows).select(*by)
+    rows = keys.limit(BROADCAST_KEYS + 1).collect()
+    if not rows:
         return None
-    return F.broadcast(keys) if found <= BROADCAST_KEYS else keys
+    if len(rows) > BROADCAST_KEYS:
+        return durable(keys)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, keys.schema))
 
 
 def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
