@@ -32,8 +32,10 @@ from rankloom.llm.registry import query, table
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 4_000_000
-# Units remembered per Python worker; the store is emptied when full.
-MEMORY_UNITS = 500_000
+# Units remembered per Python worker: as many again in the store before, from which those in use move over.
+MEMORY_UNITS = 300_000
+# Stands between texts that are merged in one call; no token but its own has this byte.
+GAP = "\0"
 
 BLOCKS = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, ids bigint, ranks binary, control binary, data binary"
 
@@ -41,17 +43,6 @@ BLOCKS = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, ids
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.uint8)
 
 
-def _signs() -> dict[int, str]:
-    """The printable sign that byte-level vocabularies write for each byte: itself where it is one,
-    else the next one from 256 on."""
-    printable = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-SIGNS = _signs()
-
-
 def code(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(ranks, control, data) of the ids of a block."""
     top = int(ids.max(initial=0)) + 1
@@ -84,47 +75,72 @@ def decode(ranks: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """The library's tokenizer, whose model is asked once for each match of the split pattern."""
+    """The library's tokenizer, asked once for each match of the split pattern."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        from tokenizers import Tokenizer, pre_tokenizers
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, np.ndarray] = {}
-        ids = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        self.four = [int(i).to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.marks = {m: ids(m).tobytes() for m in ".,;:!?"}
+        # matches of the pattern, joined by a byte that no merge has, are merged in one call of the library
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.gap, = self.whole.encode(GAP, add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?"))))
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of matches of the pattern."""
+        out: list[bytes] = []
+        for start in range(0, len(pieces), 128):
+            some = pieces[start:start + 128]
+            joined = GAP.join(some)
+            if joined.count(GAP) >= len(some):
+                out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
+                continue
+            ids = np.array(self.whole.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = 4 * np.flatnonzero(ids == self.gap)
+            raw = ids.tobytes()
+            out += map(raw.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))
+        return out
 
     def _learn(self, new: list[str]) -> None:
         # a letter and a mark after it are always cut apart, so words with marks are made of what is known of both
-        marked = [u for u in new if len(u) > 1 and u[-1] in self.marks and u[-2].isascii() and u[-2].isalpha()]
-        whole = set(new).difference(marked) | {u[:-1] for u in marked if u[:-1] not in self.known}
-        split = {}
-        for u in whole:
+        known, marks = self.known, self.marks
+        words, marked, others = [], [], []
+        for u in new:
             body = u[1:] if u[0] == " " else u
-            split[u] = (u,) if body and max(body) < "\u0250" and body.isalpha() else self.pattern.findall(u)
-        model, four = self.tokenizer.model, self.four
-        for piece in {p for parts in split.values() for p in parts if p not in self.known}:
-            plain = piece.isascii() and piece[-1].isalpha() and piece.isprintable()  # a space at most needs a sign
-            signs = piece.replace(" ", SIGNS[32]) if plain else piece.encode("utf-8").decode("latin-1").translate(SIGNS)
-            self.known[piece] = b"".join([four[t.id] for t in model.tokenize(signs)])
-        for u, parts in split.items():
+            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
+                words.append(u)
+            elif u[-1] in marks and u[-2:-1].isascii() and u[-2:-1].isalpha():
+                marked.append(u)
+            else:
+                others.append(u)
+        known.update(zip(words, self._ids(words)))
+        bases = [u for u in {u[:-1] for u in marked} if u not in known]
+        others += bases
+        split = list(map(self.pattern.findall, others))
+        pieces = list({p for parts in split for p in parts if p not in known})
+        known.update(zip(pieces, self._ids(pieces)))
+        for u, parts in zip(others, split):
             if len(parts) > 1:
-                self.known[u] = b"".join(map(self.known.__getitem__, parts))
+                known[u] = b"".join(map(known.__getitem__, parts))
         for u in marked:
-            self.known[u] = self.known[u[:-1]] + self.marks[u[-1]]
+            known[u] = known[u[:-1]] + marks[u[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of unsigned 32-bit integers."""
         if len(self.known) > MEMORY_UNITS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         cut = [units(t, self.pattern) for t in texts]
         got = [list(map(self.known.get, us)) for us in cut]
         missing = [[i for i, ids in enumerate(g) if ids is None] if None in g else () for g in got]
         new = list({us[i] for us, at in zip(cut, missing) for i in at})
         if new:
+            if self.older:
+                self.known.update((u, self.older[u]) for u in new if u in self.older)
+                new = [u for u in new if u not in self.known]
             self._learn(new)
             for us, g, at in zip(cut, got, missing):
                 for i in at:
