@@ -108,18 +108,14 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         # a letter and a mark after it are always cut apart, so words with marks are made of what is known of both
         known, marks = self.known, self.marks
-        words, marked, others = [], [], []
-        for u in new:
-            body = u[1:] if u[0] == " " else u
-            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
-                words.append(u)
-            elif u[-1] in marks and u[-2:-1].isascii() and u[-2:-1].isalpha():
-                marked.append(u)
-            else:
-                others.append(u)
+        marked = [u for u in new if u[-1] in marks and u[-2:-1].isascii() and u[-2:-1].isalpha()]
+        words, others = [], []
+        for u in {*new}.difference(marked) | {u[:-1] for u in marked}:
+            if u not in known:
+                body = u[1:] if u[0] == " " else u
+                simple = body.isalpha() and (body.isascii() or max(body) < "\u0250")
+                (words if simple else others).append(u)
         known.update(zip(words, self._ids(words)))
-        bases = [u for u in {u[:-1] for u in marked} if u not in known]
-        others += bases
         split = list(map(self.pattern.findall, others))
         pieces = list({p for parts in split for p in parts if p not in known})
         known.update(zip(pieces, self._ids(pieces)))
