@@ -1,4 +1,5 @@
-"""Fitted models.  Fits have no SQL; tests check them against direct solutions."""
+"""Fitted models.  Iterative fits have no SQL, but their optimality conditions have; tests check them
+against direct solutions."""
 
 from __future__ import annotations
 
@@ -34,6 +35,39 @@ def _(t):
     return fit.predict_linear(y.where("g % 5 = 0"), standardised(x), models).select("g", "i", "y", "s")
 
 
+_LABELS = f"WITH {SCORED} SELECT i, count(y) AS n, true AS optimal FROM scored WHERE y IS NOT NULL GROUP BY i HAVING count(y) >= 5"
+
+
+@query("fit_05_given_kernel", _LABELS, num="i n")
+def _(t):
+    """Ridge on an RBF kernel table: K a + alpha a = y holds for every item."""
+    from rankloom.operators.joins import kernel_predict
+    from rankloom.operators.similarity import rbf_pairs
+    x, y = _xy(t)
+    kernel = rbf_pairs(x, None, 0.05)
+    weights = fit.fit_krr_kernel(kernel, y, [0.5])
+    fitted = kernel_predict(kernel.select(F.col("g1").alias("g"), F.col("g2").alias("t"), "k"), weights.select("t", "i", "w"))
+    rest = (y.where("y IS NOT NULL").join(fitted, ["g", "i"])
+            .join(weights.select(F.col("t").alias("g"), "i", "w", "alpha"), ["g", "i"]))
+    return rest.groupBy("i").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("s") + F.col("alpha") * F.col("w") - F.col("y"))) < 1e-8).alias("optimal"))
+
+
+@query("fit_04_optimal", _LABELS, num="i n")
+def _(t):
+    """Elastic net: every coefficient satisfies the optimality conditions on the data."""
+    x, y = _xy(t)
+    alpha, l1 = 0.05, 0.5
+    models = fit.fit_en(x, y, [alpha], [l1], sweeps=20_000, tol=1e-9)
+    seen = fit.predict_linear(y.where("y IS NOT NULL"), x, models).where("s IS NOT NULL").join(x, "g")
+    slopes = seen.select("i", (F.col("y") - F.col("s")).alias("e"), F.posexplode("x").alias("f", "v")).groupBy("i", "f").agg(
+        F.avg(F.col("e") * F.col("v")).alias("slope"), F.count("*").alias("n"), F.abs(F.avg("e")).alias("centre"))
+    coefs = models.select("i", F.posexplode("coef").alias("f", "w"))
+    gap = F.when(F.col("w") == 0, F.greatest(F.abs("slope") - alpha * l1, F.lit(0.0))).otherwise(
+        F.abs(F.col("slope") - alpha * (1 - l1) * F.col("w") - alpha * l1 * F.signum("w")))
+    return slopes.join(coefs, ["i", "f"]).groupBy("i").agg(
+        F.max("n").alias("n"), ((F.max(gap) < 1e-6) & (F.max("centre") < 1e-8)).alias("optimal"))
+
+
 @query("fit_06_tune_elastic_net")
 def _(t):
     x, y = _xy(t)
@@ -111,14 +145,39 @@ def _(t):
     return grad
 
 
-@query("fit_08_score_deep_cross")
+def _network() -> dict:
+    draw = np.random.default_rng(3).normal
+    return {"cell": 0.2 * draw(size=(64, 4)), "deep": [0.3 * draw(size=(9, 8)), 0.3 * draw(size=(8, 4))],
+            "cross": [(0.2 * draw(size=9), np.zeros(9)) for _ in range(2)],
+            "norm": (np.zeros(14), np.ones(14), np.ones(14), np.zeros(14), 1e-5),
+            "out": (draw(size=14), 10.0)}
+
+
+_ITEM = ("p_size / 50", "p_retailprice / 2000", "p_partkey % 7 / 7", "1")
+
+
+def _network_sql(w: dict) -> str:
+    """The network as list products with its weights written out."""
+    def dots(vector: str, matrix: np.ndarray, wrap: str = "{}") -> str:
+        return "[" + ", ".join(wrap.format(f"list_dot_product({vector}, {[float(v) for v in column]})") for column in matrix.T) + "]"
+
+    steps, last = [], "b"
+    for n, (vector, _) in enumerate(w["cross"]):
+        parts = ", ".join(f"b[{j}] * list_dot_product({last}, {[float(v) for v in vector]}) + {last}[{j}]" for j in range(1, 10))
+        steps.append(f"c{n} AS (SELECT *, [{parts}] AS x{n} FROM {'h2' if n == 0 else f'c{n - 1}'})")
+        last = f"x{n}"
+    joint = f"[greatest(v, 0) / sqrt(1 + {w['norm'][4]}) FOR v IN list_concat(hidden, {last}, [m])]"
+    item = ", ".join(f"CAST({e} AS DOUBLE)" for e in _ITEM)
+    return f"""WITH {SCORED}, vec AS (SELECT vec_id AS g, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IN (SELECT s_suppkey FROM supplier)),
+  pq AS (SELECT s.g, s.i, {dots('x', w['cell'])} AS p, [{item}] AS q FROM scored s JOIN vec USING (g) JOIN part ON p_partkey = s.i),
+  b0 AS (SELECT g, i, list_dot_product(p, q) AS m, list_concat(p, q, [list_dot_product(p, q)]) AS b FROM pq),
+  h1 AS (SELECT *, {dots('b', w['deep'][0], 'greatest({}, 0)')} AS h FROM b0),
+  h2 AS (SELECT *, {dots('h', w['deep'][1])} AS hidden FROM h1), {', '.join(steps)}
+  SELECT g, i, list_dot_product({joint}, {[float(v) for v in w['out'][0]]}) + {w['out'][1]} AS s FROM c{len(w['cross']) - 1}"""
+
+
+@query("fit_08_score_deep_cross", _network_sql(_network()), dbl="s", num="g i")
 def _(t):
     x, y = _xy(t)
-    q = t.part.select(F.col("p_partkey").alias("i"), F.array(*[F.expr(e).cast("double") for e in (
-        "p_size / 50", "p_retailprice / 2000", "p_partkey % 7 / 7", "1")]).alias("q"))
-    draw = np.random.default_rng(3).normal
-    weights = {"cell": 0.2 * draw(size=(64, 4)), "deep": [0.3 * draw(size=(9, 8)), 0.3 * draw(size=(8, 4))],
-               "cross": [(0.2 * draw(size=9), np.zeros(9)) for _ in range(2)],
-               "norm": (np.zeros(14), np.ones(14), np.ones(14), np.zeros(14), 1e-5),
-               "out": (draw(size=14), 10.0)}
-    return score_deep_cross(y, x, q, weights)
+    q = t.part.select(F.col("p_partkey").alias("i"), F.array(*[F.expr(e).cast("double") for e in _ITEM]).alias("q"))
+    return score_deep_cross(y, x, q, _network())

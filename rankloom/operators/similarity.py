@@ -7,6 +7,7 @@ its tile.  No task sees more than two blocks, no key gathers more than its block
 
 from __future__ import annotations
 
+import math
 from typing import Iterator
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from rankloom.functions.vectors import centred, norm, spread
 
-BLOCK = 256
+# Bytes of the vectors of a block; two blocks meet in a task.
+BLOCK_BYTES = 8 * 1024 * 1024
 
 
 def standardised(vec: DataFrame, key: str = "g", col: str = "x", zero_std: str = "one") -> DataFrame:
@@ -36,18 +38,24 @@ def standardised(vec: DataFrame, key: str = "g", col: str = "x", zero_std: str =
     return rows.select(key, F.when(flat, flat_value).otherwise(z).alias(col))
 
 
-def _packed(vec: DataFrame, key: str, col: str, block: int) -> tuple[DataFrame, int]:
-    """(b, ids, flat): at most about `block` vectors per row, flattened."""
-    n = vec.count()
-    blocks = max(1, -(-n // block))
+def _packed(vec: DataFrame, key: str, col: str, block: int | None) -> tuple[DataFrame, int]:
+    """(b, ids, flat): about `block` vectors per row, flattened; by default BLOCK_BYTES of them, or
+    fewer where that many blocks would leave tasks without work."""
+    n, d = vec.agg(F.count("*"), F.max(F.size(col))).first()
+    tasks = int(vec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = math.ceil(math.sqrt(2 * tasks))
+    blocks = -(-n // block) if block else max(-(-8 * n * (d or 1) // BLOCK_BYTES), min(least, n // 64))
+    blocks = max(1, blocks)
     rows = vec.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"),
                       F.struct(F.col(key).alias("id"), F.col(col).alias("v")).alias("r"))
     packs = rows.groupBy("b").agg(F.collect_list("r").alias("rs"))  # about `block` rows each
     return packs.select("b", F.col("rs.id").alias("ids"), F.flatten("rs.v").alias("flat")), blocks
 
 
-def _tiles(a: DataFrame, b: DataFrame | None, key: str, col: str, tile_fn, block: int) -> DataFrame:
-    """One row per (left id, right block): ids and values as arrays."""
+def _tiles(a: DataFrame, b: DataFrame | None, key: str, col: str, tile_fn, block: int | None,
+           keep: int | None = None) -> DataFrame:
+    """One row per (left id, right block): ids and values as arrays; with `keep`, those of the
+    largest values among other ids only."""
     id_type = dict(a.dtypes)[key]
     left, nl = _packed(a, key, col, block)
     right, nr = (left, nl) if b is None else _packed(b, key, col, block)
@@ -63,15 +71,26 @@ def _tiles(a: DataFrame, b: DataFrame | None, key: str, col: str, tile_fn, block
     met = lefts.join(rights.hint("merge"), ["b", "b2"])
     mirror = b is None
 
+    def arrays(rows, cols, k: np.ndarray) -> pd.DataFrame:
+        if keep is None:
+            return pd.DataFrame({"l": rows, "r": [cols] * len(rows), "k": list(k)})
+        ids = np.asarray(cols)
+        order = np.argsort(ids, kind="stable")
+        ids, k = ids[order], np.where(np.asarray(rows)[:, None] == ids[order], -np.inf, k[:, order])
+        best = np.argsort(-k, axis=1, kind="stable")[:, :keep]
+        values = np.take_along_axis(k, best, 1)
+        own = [v > -np.inf for v in values]
+        return pd.DataFrame({"l": rows, "r": [ids[b][o] for b, o in zip(best, own)], "k": [v[o] for v, o in zip(values, own)]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 x = np.asarray(row.flat1, dtype=float).reshape(len(row.ids1), -1)
                 y = np.asarray(row.flat2, dtype=float).reshape(len(row.ids2), -1)
                 k = tile_fn(x, y)
-                yield pd.DataFrame({"l": row.ids1, "r": [row.ids2] * len(row.ids1), "k": list(k)})
+                yield arrays(row.ids1, row.ids2, k)
                 if mirror and row.b != row.b2:
-                    yield pd.DataFrame({"l": row.ids2, "r": [row.ids1] * len(row.ids2), "k": list(k.T)})
+                    yield arrays(row.ids2, row.ids1, k.T)
 
     return met.mapInPandas(run, f"l {id_type}, r array<{id_type}>, k array<double>")
 
@@ -92,7 +111,7 @@ def _sq(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def pearson_pairs(vec: DataFrame, key: str = "g", col: str = "x", zero_std: str = "one",
-                  block: int = BLOCK) -> DataFrame:
+                  block: int | None = None) -> DataFrame:
     """Pearson correlation of every two samples of one set."""
     z = standardised(vec, key, col, zero_std).where(F.col(col).isNotNull())
     pairs = _pairs(_tiles(z, None, key, col, _dots, block), ("g1", "g2"), "k")
@@ -104,6 +123,14 @@ def pearson_pairs(vec: DataFrame, key: str = "g", col: str = "x", zero_std: str
     return _with_null_pairs(pairs, ids, flat, key)
 
 
+def pearson_top_k(vec: DataFrame, k: int, key: str = "g", col: str = "x", block: int | None = None) -> DataFrame:
+    """For each sample the k others of highest Pearson correlation, ties by key: (g1, g2, k).
+    A tile passes on k values per sample at most, so no list of all pairs is written."""
+    from rankloom.operators.ordering import top_k
+    tiles = _tiles(standardised(vec, key, col), None, key, col, _dots, block, keep=k)
+    return top_k(_pairs(tiles, ("g1", "g2"), "k"), ["g1"], [F.col("k").desc(), F.col("g2").asc()], k, "__r").drop("__r")
+
+
 def _with_null_pairs(pairs: DataFrame, ids: DataFrame, flat: DataFrame, key: str) -> DataFrame:
     from rankloom.operators.joins import expand_pairs
     none = F.lit(None).cast("double").alias("k")
@@ -123,7 +150,7 @@ def pack_features(long: DataFrame, features: DataFrame, key: str = "g", feature:
 
 
 def pearson_cross(a: DataFrame, b: DataFrame, features: DataFrame, key: str = "g", feature: str = "f",
-                  value: str = "x", position: str = "pos", block: int = BLOCK) -> DataFrame:
+                  value: str = "x", position: str = "pos", block: int | None = None) -> DataFrame:
     """Pearson correlation of every sample of a with every sample of b over the listed
     features that both sets have."""
     common = (features.join(a.select(feature).distinct(), feature, "left_semi")
@@ -134,19 +161,19 @@ def pearson_cross(a: DataFrame, b: DataFrame, features: DataFrame, key: str = "g
 
 
 def sq_dist_pairs(a: DataFrame, b: DataFrame | None = None, key: str = "g", col: str = "x",
-                  block: int = BLOCK) -> DataFrame:
+                  block: int | None = None) -> DataFrame:
     """Squared Euclidean distance of every pair, a sample with itself included."""
     return _pairs(_tiles(a, b, key, col, _sq, block), ("g1", "g2"), "d")
 
 
 def rbf_pairs(a: DataFrame, b: DataFrame | None, gamma: float, key: str = "g", col: str = "x",
-              block: int = BLOCK) -> DataFrame:
+              block: int | None = None) -> DataFrame:
     """exp(-gamma * squared distance) of every pair."""
     fn = lambda x, y: np.exp(-gamma * _sq(x, y))
     return _pairs(_tiles(a, b, key, col, fn, block), ("g1", "g2"), "k")
 
 
-def median_gamma(vec: DataFrame, key: str = "g", col: str = "x", block: int = BLOCK,
+def median_gamma(vec: DataFrame, key: str = "g", col: str = "x", block: int | None = None,
                  bits: int = 20) -> DataFrame:
     """1 / exact median of all squared distances, without shuffling the distances.
 
