@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from rankloom.catalog.fixtures import CELLS, SCORED, cells, hash_sql, scored, suppliers, uniform_sql
 from rankloom.catalog.registry import query
@@ -161,15 +163,33 @@ def _(t):
     return C.augment(df, column_stats(df, ["f"], "x"), 0.05, 0.01, 13).select("g", "f", "x")
 
 
-@query("src_18_read_fold", f"""WITH {SCORED}, folds AS ({_folds_sql(5)}) SELECT CASE WHEN fold = 1 THEN 'y_test' ELSE 'y_train' END AS part,
-  count(*) AS n, sum(s) AS total FROM scored JOIN folds USING (g) GROUP BY 1""", dbl="total", num="n")
-def _(t):
+def _sides(t, folds, fold, inner=None):
+    """Sizes and sums of the four tables of a fold that is stored and read back."""
     from rankloom.runtime import scratch_path
     from rankloom.sources.readers import read_fold
     folder = scratch_path(t.spark, "folds")
     cells(t).select("g", "f", "x").write.parquet(f"{folder}/x")
     scored(t).write.parquet(f"{folder}/y")
-    P.kfold(suppliers(t), 5, 5).write.parquet(f"{folder}/folds")
-    parts = read_fold(t.spark, f"{folder}/x", f"{folder}/y", f"{folder}/folds", 1)
-    total = lambda name: parts[name].agg(F.count("*").alias("n"), F.sum("s").alias("total")).withColumn("part", F.lit(name))
-    return total("y_train").unionByName(total("y_test")).select("part", "n", "total")
+    folds.write.parquet(f"{folder}/folds")
+    parts = read_fold(t.spark, f"{folder}/x", f"{folder}/y", f"{folder}/folds", fold, inner)
+    total = lambda name: parts[name].agg(
+        F.count("*").alias("n"), F.sum("x" if name[0] == "x" else "s").alias("total")).withColumn("part", F.lit(name))
+    return reduce(DataFrame.unionByName, map(total, ("x_train", "x_test", "y_train", "y_test"))).select("part", "n", "total")
+
+
+_SIDES = """, v AS (SELECT 'x_' AS part, g, x AS v FROM cells UNION ALL SELECT 'y_', g, s FROM scored)
+  SELECT part || CASE WHEN fold = 1 THEN 'test' ELSE 'train' END AS part, count(*) AS n, sum(v) AS total
+  FROM v JOIN folds USING (g) GROUP BY 1"""
+
+
+@query("src_18_read_fold", f"WITH {SCORED}, {CELLS}, folds AS ({_folds_sql(5)}){_SIDES}", dbl="total", num="n")
+def _(t):
+    return _sides(t, P.kfold(suppliers(t), 5, 5), 1)
+
+
+@query("src_18_read_inner_fold", f"""WITH {SCORED}, {CELLS}, o AS ({_folds_sql(5)}), tr AS (SELECT a.fold AS outer_fold, b.g FROM
+  (SELECT DISTINCT fold FROM o) a JOIN o b ON b.fold <> a.fold), inn AS (SELECT outer_fold, g, ntile(4) OVER (PARTITION BY outer_fold
+  ORDER BY {hash_sql(9, 'outer_fold', 'g')}, g) - 1 AS fold FROM tr), folds AS (SELECT g, fold FROM inn WHERE outer_fold = 2){_SIDES}""",
+       dbl="total", num="n")
+def _(t):
+    return _sides(t, P.nested_folds(P.kfold(suppliers(t), 5, 5), 4, 9), 2, 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.operators.ordering import dense_index, exact_median, first_per_key
 from rankloom.operators.filters import fill_labels
+from rankloom.runtime import join_groups
 
 
 def marginal_means(df: DataFrame, by: str = "g", item: str = "i", value: str = "y") -> DataFrame:
@@ -56,7 +57,7 @@ def count_where(df: DataFrame, conditions: dict[str, Column], by: list[str] = []
 def median_impute(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     """Missing values replaced with the exact median of their key."""
     med = exact_median(df, by, col, "__med")
-    return df.join(med, by, "left").withColumn(col, F.coalesce(col, "__med")).drop("__med")
+    return join_groups(df, med, by, "left").withColumn(col, F.coalesce(col, "__med")).drop("__med")
 
 
 def pivot_latest(df: DataFrame, by: str, item: str, value: str, order: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from rankloom.functions.random import key_hash, uniform
 from rankloom.functions.scalars import nan_to_null
 from rankloom.operators.ordering import exact_median, grouped_rank, hash_rank, score_order, tile, top_k
 from rankloom.operators.filters import keep_keys_having, min_item_labels
+from rankloom.runtime import join_groups
 
 
 def kfold(groups: DataFrame, k: int, seed=0, key: str = "g", within: str | None = None,
@@ -89,7 +90,7 @@ def sensitive(df: DataFrame, item: str = "i", label: str = "y") -> DataFrame:
     """Label above the item's exact median, with the sign of the signal."""
     med = exact_median(df, [item], label, "__m")
     above = F.col(label) > F.col("__m")
-    return (df.join(med, item).where(F.col(label).isNotNull())
+    return (join_groups(df, med, [item]).where(F.col(label).isNotNull())
             .withColumn("sensitive", above)
             .withColumn("signal", F.when(above, 1).otherwise(-1)).drop("__m"))
 
