@@ -174,44 +174,43 @@ def rbf_pairs(a: DataFrame, b: DataFrame | None, gamma: float, key: str = "g", c
 
 
 def median_gamma(vec: DataFrame, key: str = "g", col: str = "x", block: int | None = None,
-                 bits: int = 20) -> DataFrame:
-    """1 / exact median of all squared distances, without shuffling the distances.
+                 levels: tuple[int, ...] = (20, 42, 64)) -> DataFrame:
+    """1 / exact median of all squared distances, without shuffling or ranking the distances.
 
-    Pass 1 counts the distances of each tile by the leading bits of their representation
-    (which orders non-negative doubles) and adds the counts up.  Pass 2 keeps the few
-    distances that share the leading bits of the median and ranks those."""
+    The representation of non-negative doubles orders them.  Each pass counts the distances of the
+    tiles by more of its leading bits, among those that share the bits found so far with the one or
+    two middle distances; the last pass has all bits.  A pass returns a histogram of at most
+    2^22 integers, whatever the number of pairs."""
     tiles = _tiles(vec, None, key, col, _sq, block)
 
-    def prefix(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = np.concatenate([np.asarray(v, dtype=float) for v in pdf["k"]])
-                p, n = np.unique(d.view(np.int64) >> (64 - bits), return_counts=True)
-                yield pd.DataFrame({"p": p, "n": n})
-
-    counts = tiles.mapInPandas(prefix, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    table = sorted((r["p"], r["n"]) for r in counts.collect())  # at most 2^bits rows of integers
-    total = sum(n for _, n in table)
-    want = [(total + 1) // 2, total // 2 + 1]
-    picked, offset, run = set(), None, 0
-    for p, n in table:
-        if any(run < w <= run + n for w in want):
-            picked.add(p)
-            offset = run if offset is None else offset
-        run += n
-
-    def inside(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = np.concatenate([np.asarray(v, dtype=float) for v in pdf["k"]])
-                d = d[np.isin(d.view(np.int64) >> (64 - bits), list(picked))]
-                v, n = np.unique(d, return_counts=True)
-                yield pd.DataFrame({"d": v, "n": n})
-
-    near = tiles.mapInPandas(inside, "d double, n long").groupBy("d").agg(F.sum("n").alias("n"))
-    from rankloom.operators.ordering import _running_count
-    spots = near.select(F.lit(1).alias("__all"), "d", F.col("n").alias("__m"))
-    ends = _running_count(spots, ["__all"], "d", None)
-    covers = lambda w: ((F.col("__end") - F.col("__m") < w - offset) & (F.col("__end") >= w - offset))
-    return (ends.where(covers(want[0]) | covers(want[1]))
-            .agg((F.lit(2.0) / (F.min("d") + F.max("d"))).alias("gamma")))
+    def counted(bits: int, before: int, kept: list[int]) -> list[tuple[int, int]]:
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    d = np.concatenate([np.asarray(v, dtype=float) for v in pdf["k"]]).view(np.int64)
+                    if before:
+                        d = d[np.isin(d >> (64 - before), kept)]
+                    p, n = np.unique(d >> (64 - bits), return_counts=True)
+                    yield pd.DataFrame({"p": p, "n": n})
+
+        rows = tiles.mapInPandas(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
+        return sorted((r["p"], r["n"]) for r in rows.collect())
+
+    middle, before = [], 0  # (leading bits, rank among those that share them)
+    for bits in levels:
+        table = counted(bits, before, [p for p, _ in middle])
+        if not before:
+            total = sum(n for _, n in table)
+            middle = [(0, (total + 1) // 2), (0, total // 2 + 1)] if total else []
+        found = []
+        for prefix, rank in middle:
+            for p, n in table:
+                if not before or p >> (bits - before) == prefix:
+                    if rank <= n:
+                        found.append((p, rank))
+                        break
+                    rank -= n
+        middle, before = found, bits
+    low_high = np.array([p for p, _ in middle], dtype=np.int64).view(float).tolist()
+    gamma = 2.0 / sum(low_high) if low_high and sum(low_high) > 0 else None
+    return vec.sparkSession.createDataFrame([(gamma,)], "gamma double")
