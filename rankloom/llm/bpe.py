@@ -177,12 +177,14 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
 
     def run(batches):
         c = coder(path)
+        c.known.clear()  # left by another task in this worker
         for part in slices(batches, text, 4 * 1024 * 1024):
             found = c.encode_all(strings(part.column(text)))
             offsets = np.zeros(len(found) + 1, dtype=np.int32)
             np.cumsum([len(f) for f in found], out=offsets[1:])
             flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(offsets[-1]))
             yield _with_column(part, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+        c.known.clear()  # idle workers keep no store
 
     return df.mapInArrow(run, _appended(df, ids, T.ArrayType(T.IntegerType())))
 

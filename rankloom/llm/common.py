@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from rankloom import runtime
 
 # Text bytes that a Python worker handles at once; longer texts come alone.
-SLICE_BYTES = 8 * 1024 * 1024
+SLICE_BYTES = 4 * 1024 * 1024
 # Words of a shingle.
 SHINGLE = 5
 # Input bytes per group of an explicit regrouping.

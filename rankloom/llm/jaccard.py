@@ -39,7 +39,7 @@ from rankloom.llm.registry import query, table
 # Least similarity, in percent.
 PERCENT = 80
 # Bits of a hash, and sets and n-grams of a batch at most (a longer set is a batch of its own).
-BITS, BATCH_SETS, BATCH_GRAMS = 48, 60_000, 3_000_000
+BITS, BATCH_SETS, BATCH_GRAMS = 48, 60_000, 2_000_000
 # Fragments (a power of two) in which the overlaps of candidate pairs are counted.
 PARTS = 4
 # Turns in which sets are compared with a pivot of their lists only.

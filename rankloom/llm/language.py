@@ -31,7 +31,7 @@ CELLS = 1 << 18
 # Training documents per language, at most; those of smallest hash are taken.
 TRAIN_DOCS = 1500
 # Words remembered per Python worker; the store is emptied when full.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 # Steps of expectation-maximisation, and the change of log-likelihood per word that ends it.
 STEPS, SETTLED = 30, 1e-5
 UNKNOWN = "und"
