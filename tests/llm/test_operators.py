@@ -362,6 +362,27 @@ def test_added_secrets(spark, nothing):
     assert secrets.find(nothing).count() == 0
 
 
+def ordinary_rows(texts):
+    """Documents with no token that is long enough to be tested."""
+    return [(i, " ".join(w for w in re.split(r"[^A-Za-z0-9]+", t or "") if len(w) < 16)) for i, t in texts.items()]
+
+
+def test_keys_of_every_length_among_ordinary_text(spark, texts):
+    rng = random.Random(9)
+    pool = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = ordinary_rows(texts)
+    planted = {}
+    for n in (20, 24, 32, 40, 48, 64):
+        for k in range(6):
+            key = "".join(rng.choice(pool) for _ in range(n - 2)) + "a7"
+            planted[100_000 + 100 * n + k] = (n, key)
+    made = spark.createDataFrame(rows + [(i, f"{rows[i % len(rows)][1]} {key} end") for i, (_, key) in planted.items()], "doc_id long, text string")
+    found = {r.doc_id: len(r.spans) for r in secrets.find(made).collect()}
+    by = Counter(n for i, (n, _) in planted.items() if found[i])
+    assert all(by[n] >= 5 for n in (20, 24, 32, 40, 48, 64)), by
+    assert not any(found[i] for i, _ in rows)
+
+
 # --- urls
 
 
