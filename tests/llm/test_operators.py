@@ -383,6 +383,21 @@ def test_keys_of_every_length_among_ordinary_text(spark, texts):
     assert not any(found[i] for i, _ in rows)
 
 
+@pytest.mark.parametrize("pool", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+def test_keys_of_letters_alone(spark, texts, pool):
+    rng = random.Random(10)
+    planted = {100_000 + k: "".join(rng.choice(pool) for _ in range(72)) for k in range(12)}
+    made = spark.createDataFrame([*texts.items()] + [(i, f"the key {key} end") for i, key in planted.items()], "doc_id long, text string")
+    found = {r.doc_id: [x.kind for x in r.spans].count(secrets.KINDS.index("random")) for r in secrets.find(made).collect()}
+    assert sum(found[i] for i in planted) >= 10 and not any(found[i] for i in texts)
+
+
+def test_digits_alone_are_tested(spark):
+    made = spark.createDataFrame([(1, "call 93847561029384756102 now"), (2, "=" * 30), (3, "two words")], "doc_id long, text string")
+    tested = {r.doc_id: [(x.start, x.end, secrets.ALPHABETS[x.encoding][0]) for x in r.tested] for r in secrets.scan(made).collect()}
+    assert tested == {1: [(5, 25, "decimal")], 2: [], 3: []}
+
+
 # --- urls
 
 
