@@ -9,15 +9,16 @@ reaches the threshold, the sum of the blocks' largest weights as a second test,
 
 Most text can't reach the threshold at all.  So before passages are cut, stretches of text are bounded
 for all items at once: the weights of a stretch's distinct rare terms, plus all that common terms can
-add to the item, are no less than any of its passages' scores.  Passages of stretches whose bounds
-stay below are skipped; the result is the same.
+add to the item, are no less than any of its passages' scores.  Common terms are made rare, those in
+the fewest items first, until no item reaches the threshold by common terms alone.  Passages of
+stretches whose bounds stay below are skipped; the result is the same.
 
 A retrieved item counts if both its question (all sentences but the last; of a single sentence the
 first half) and its answer (the rest) have half of their three-word runs or more in the passage.
 Words are runs of other characters than ASCII white space and punctuation, with A-Z in lower case.
 
 Null and empty texts have no passages, items without a word are never found.  Items with equal text
-are each found.  Null ids and repeated rows stay as they are; extra columns are ignored; an empty
+are indexed once and each found.  Null ids and repeated rows stay as they are; extra columns are ignored; an empty
 table gives no rows.  Texts are read whole.  An index has at most INDEX_POSTINGS postings; more items are
 split by hash into several indexes, used one after the other with common statistics."""
 
@@ -71,8 +72,12 @@ def runs(words: list[bytes]) -> set[tuple[bytes, ...]]:
 class Index:
     """Inverted index of test items: (item_id, text) pairs, with the statistics of all items."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[bytes, int], n: int, mean_length: float):
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int, str]], frequency: dict[bytes, int], n: int, mean_length: float, threshold: float = THRESHOLD):
+        equal: dict[str, list[int]] = {}
+        for i, t in items:
+            equal.setdefault(t, []).append(i)
+        items = [(ids, t) for t, ids in equal.items()]
+        self.ids = list(equal.values())
         counts = [Counter(terms_of(t)) for _, t in items]
         halved = [halves(t) for _, t in items]
         self.question, self.answer = [runs(q) for q, _ in halved], [runs(a) for _, a in halved]
@@ -90,13 +95,25 @@ class Index:
         self.weights = [[w for _, w in p] for p in postings.values()]
         self.largest = [max(w) for w in self.weights]
         self.blocks = [[max(w[i:i + BLOCK]) for i in range(0, len(w), BLOCK)] for w in self.weights]
-        limit = max(COMMON_ITEMS, COMMON_SHARE * len(items))
+        self.bound_by(threshold)
+
+    def bound_by(self, threshold: float) -> None:
+        """Choose the rare terms, so that no item reaches the threshold without one."""
+        self.threshold = threshold
+        limit = max(COMMON_ITEMS, COMMON_SHARE * len(self.ids))
         self.rare = np.array([len(p) <= limit for p in self.items], dtype=bool)
         # what common terms can add to each item
-        self.rest = np.zeros(len(items))
-        for p, w, rare in zip(self.items, self.weights, self.rare):
-            if not rare:
-                self.rest[p] += w
+        self.rest = np.zeros(len(self.ids))
+        common = sorted((len(p), t) for t, p in enumerate(self.items) if not self.rare[t])
+        for _, t in common:
+            self.rest[self.items[t]] += self.weights[t]
+        for _, t in common:
+            over = self.rest >= threshold - 1e-6
+            if not over.any():
+                break
+            if over[self.items[t]].any():
+                self.rare[t] = True
+                self.rest[self.items[t]] -= self.weights[t]
         sizes = np.array([len(p) if r else 0 for p, r in zip(self.items, self.rare)], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
         keep = [i for i in range(len(sizes)) if self.rare[i]]
@@ -173,6 +190,8 @@ class Index:
 
     def matches(self, texts: list[str], threshold: float, overlap: float):
         """(row, item, score, question overlap, answer overlap, first word, last word) of each find."""
+        if threshold < self.threshold:
+            self.bound_by(threshold)
         window, step = self.window, max(1, self.window // 4)
         stride = 4 * window
         words = [terms_of(t) for t in texts]
@@ -201,8 +220,8 @@ class Index:
                     there = runs_of_all(words[r][low:high])
                     q, a = (share(part[item], there) for part in (self.question, self.answer))
                     if q >= overlap and a >= overlap and ((r, item) not in best or score > best[r, item][2]):
-                        best[r, item] = (r, self.ids[item], score, q, a, start, min(start + window, len(words[r])))
-        return list(best.values())
+                        best[r, item] = (r, item, score, q, a, start, min(start + window, len(words[r])))
+        return [(r, i, *rest) for r, item, *rest in best.values() for i in self.ids[item]]
 
 
 def runs_of_all(words: list[bytes]) -> set[tuple[bytes, ...]]:
@@ -214,7 +233,7 @@ def share(wanted: set, there: set) -> float:
     return len(wanted & there) / len(wanted) if wanted else 1.0
 
 
-def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"):
+def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", threshold: float = THRESHOLD):
     """The indexes of all items, one after the other."""
     items = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -241,7 +260,7 @@ def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"):
         wanted = stats if shards == 1 else stats.join(terms, "term", "left_semi")
         frequency = {bytes(r["term"]): r["n"] for r in wanted.collect() if r["term"]}
         if mine:
-            yield Index([(None if null else i, t) for null, i, t in rows], frequency, whole["n"], whole["length"] / whole["n"])
+            yield Index([(None if null else i, t) for null, i, t in rows], frequency, whole["n"], whole["length"] / whole["n"], threshold)
 
 
 _FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, end_word long"
@@ -266,7 +285,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word", "end_word"])
         return run
 
-    for index in indexes(benchmark, item_id, text):
+    for index in indexes(benchmark, item_id, text, threshold):
         found = found.unionByName(rows.mapInArrow(searcher(context.broadcast(index)), _FOUND))
     return found
 
@@ -282,7 +301,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                 yield part.filter(pa.array([r not in bad for r in range(part.num_rows)], pa.bool_()))
         return run
 
-    for index in indexes(benchmark, item_id):
+    for index in indexes(benchmark, item_id, threshold=threshold):
         df = df.mapInArrow(filter_by(df.sparkSession.sparkContext.broadcast(index)), df.schema)
     return df
 

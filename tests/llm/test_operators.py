@@ -175,6 +175,30 @@ def test_split_indexes_agree(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in QUERIES["op3_bm25_decontamination"](spark, FOLDER).collect()} == one
 
 
+@pytest.mark.parametrize("copies", [5, 100])
+def test_repeated_and_common_items_are_found(copies):
+    rng = random.Random(4)
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    same, common, many = text([f"s{i}" for i in range(40)], 30), [f"c{i}" for i in range(12)], [f"w{i}" for i in range(3000)]
+    items = [(i, same) for i in range(copies)] + [(1000 + i, text(common, 14)) for i in range(60)] + [(2000 + i, text(many, 25)) for i in range(140)]
+    frequency = Counter(t for _, x in items for t in set(decontaminate.terms_of(x)))
+    index = decontaminate.Index(items, frequency, len(items), 20.0)
+    docs = [same, f"{text(many, 300)} {same} {text(many, 300)}", items[copies + 3][1], items[-1][1], text(many, 400)]
+    got = {(r, i) for r, i, *_ in index.matches(docs, 0.6, 0.5)}
+    for r, doc in enumerate(docs):  # every item that stands in a text word by word
+        assert {(r, i) for i, x in items if x in doc} <= got
+    # the skipping of stretches loses nothing: plain scores of whole texts that are one passage
+    for r in (0, 2, 3):
+        there = set(decontaminate.terms_of(docs[r]))
+        scores = Counter()
+        for t, n in index.terms.items():
+            if t in there:
+                scores.update(dict(zip(index.items[n], index.weights[n])))
+        runs = decontaminate.runs_of_all(decontaminate.terms_of(docs[r]))
+        good = {i for i, x in scores.items() if x >= 0.6 and decontaminate.share(index.question[i], runs) >= 0.5 and decontaminate.share(index.answer[i], runs) >= 0.5}
+        assert {i for x, i in got if x == r} == {n for i in good for n in np.atleast_1d(index.ids[i]).tolist()}
+
+
 # --- fingerprints
 
 
