@@ -51,17 +51,18 @@ def _grams(word: str) -> list[int]:
 def train(df: DataFrame, text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS) -> dict:
     """Log-likelihood tables of every language that `lang` names.
 
-    At most `docs` documents of each language are read, those with the smallest hash of the text.
-    Their n-gram counts, hashed into CELLS cells, are summed by Spark; what comes to the driver is
+    At most `docs` different texts of each language are read, those with the smallest hash; copies
+    count once.  Their n-gram counts, hashed into CELLS cells, are summed by Spark; what comes to the driver is
     at most languages x CELLS numbers.  Rows with a null language or text are left out."""
     labelled = (df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
                 .where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text")))
     # the cut-off hash of each language comes from partial aggregates of hashes, without texts
     rank = F.array_sort(F.collect_set("h"))
-    total = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    total = labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not total:
         return {"langs": [], "table": np.zeros((0, CELLS), dtype=np.float32)}
-    share = {r["lang"]: min(1.0, 1.25 * docs / r["n"]) for r in total}
+    # a window of the hashes with a margin over its chance variation, so that it holds `docs` if there are so many
+    share = {r["lang"]: min(1.0, (docs + 8 * docs ** 0.5 + 32) / r["n"]) for r in total}
     low = F.lit(-(1 << 63)).cast("long")
     limit = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min((1 << 63) - 1, int(-(1 << 63) + v * ((1 << 64) - 1))))) for k, v in share.items()))
     near = labelled.where((F.col("h") >= low) & (F.col("h") <= limit[F.col("lang")]))
@@ -70,6 +71,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", docs: int = TRA
     cuts = {r["cut_lang"]: r["cut"] for r in cut.collect()}
     bound = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in cuts.items()))
     sample = near.where(F.col("h") <= bound[F.col("lang")])
+    # copies go in the tasks first, so that few texts move
+    sample = sample.mapInArrow(_different, sample.schema).dropDuplicates(["lang", "h"])
     sums = sample.select("lang", "text").mapInArrow(_count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     rows = sums.toArrow()
     langs = sorted(cuts)
@@ -81,6 +84,18 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", docs: int = TRA
     return {"langs": langs, "table": table_.astype(np.float32)}
 
 
+def _different(batches):
+    """The first row of each language and hash."""
+    seen = set()
+    for batch in batches:
+        keys = list(zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist()))
+        keep = []
+        for key in keys:
+            keep.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _count(batches):
     for batch in batches:
         by_lang: dict[str, Counter] = {}

@@ -499,6 +499,16 @@ def test_mixtures(spark, odd, nothing, texts):
     assert {r.lang_pred for r in language.identify(odd, empty).collect()} == {"und"} and language.identify(nothing, model).count() == 0
 
 
+def test_copies_hide_no_other_texts(spark):
+    other = [(f"eine andere zeile nummer {chr(97 + i % 26)}{chr(97 + i // 26)}", "de") for i in range(100)]
+    few = [("one text of english words", "en"), ("and another english line", "en"), ("all the rest is copies", "en")]
+    once = spark.createDataFrame(other + few, "text string, lang string")
+    copied = spark.createDataFrame(other + few * 3000 + [other[7]] * 5000, "text string, lang string")
+    for docs in (4, 1500):
+        got, want = language.train(copied, docs=docs), language.train(once, docs=docs)
+        assert got["langs"] == want["langs"] == ["de", "en"] and np.array_equal(got["table"], want["table"])
+
+
 # --- n-gram join
 
 
