@@ -19,8 +19,6 @@ from rankloom.llm.registry import query, table
 
 # (verdict, rule): host and path prefix.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-# Levels of the tree; segments further down share one wildcard.
-DEPTH = 6
 # Weight of the parent's value, in urls, and the deviation (in standard errors) below which branches merge.
 PRIOR_WEIGHT, MERGE_Z = 4.0, 1.96
 # Values of one position that make it variable, if each is met fewer than MEAN_VISITS times.
@@ -49,8 +47,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def template(path: Column) -> Column:
-    """Segments of a path, at most DEPTH, with variable ones as wildcards."""
-    segments = F.slice(F.split(F.regexp_replace(path, "^/", ""), "/"), 1, DEPTH)
+    """All segments of a path, with variable ones as wildcards."""
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
     shape = lambda s: (F.when(s.rlike("^[0-9]+$"), F.lit("*"))
                        .when(s.rlike("^[0-9]+\\.[A-Za-z0-9]+$"), F.concat(F.lit("*."), F.regexp_extract(s, "\\.([A-Za-z0-9]+)$", 1)))
                        .when(s.rlike("[0-9]") & (F.length(s) >= 12), F.lit("*")).otherwise(s))

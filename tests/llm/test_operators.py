@@ -472,6 +472,15 @@ def test_templates_learn(spark):
     assert (got["http://new.com/spam/9"], got["http://new.com/fr/7"]) == ("block", "allow")
 
 
+def test_deep_branches_are_told_apart(spark):
+    deep = "fr/b/c/d/e/f"
+    rows = [f"http://h{i}.net/{deep}/spam/{i}" for i in range(60)] + [f"http://h{i}.org/{deep}/good/{i}" for i in range(60)]
+    rows += [f"http://new.com/{deep}/spam/9", f"http://new.com/{deep}/good/7", f"http://new.com/{deep}"]
+    got = {r.url: r for r in urls.judge(spark.createDataFrame([(u,) for u in rows], "url string")).collect()}
+    assert [got[u].verdict for u in rows[-3:-1]] == ["block", "allow"]
+    assert [got[u].template for u in rows[-3:]] == [f"/{deep}/spam/*", f"/{deep}/good/*", f"/{deep}"]
+
+
 # --- languages
 
 
