@@ -5,4 +5,5 @@ Nothing else in the library imports this package; it may be removed with `corpus
 from __future__ import annotations
 
 from rankloom.llm.registry import QUERIES, SQL  # noqa: F401
-from rankloom.llm import bpe, chat, decontaminate, jaccard, language, pii, secrets, sketch, tokenfile, urls  # noqa: F401
+from rankloom.llm import (bpe, chat, decontaminate, divergence, jaccard, language, negatives, pii, secrets, sketch, tokenfile,  # noqa: F401
+                          urls, warc)
