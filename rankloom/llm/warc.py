@@ -22,6 +22,7 @@ dropped.  An empty table gives an empty archive.  Other columns are not read."""
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -135,8 +136,9 @@ def records(page_id: int | None, uri: str, payload: bytes | None, digest: str, l
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url", payload: str = "html",
-          segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYTES) -> None:
-    """Write an archive of all rows to `folder`; Spark commits its files, so a failed task leaves none."""
+          segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYTES, compression: str = "gzip") -> None:
+    """Write an archive of all rows to `folder`; Spark commits its files, so a failed task leaves none.
+    A compressed file is read by one task, one written with compression="none" by several."""
 
     def run(batches):
         for batch in batches:
@@ -153,7 +155,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url",
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     made = decisions(pages, key, uri, payload).mapInArrow(run, "record binary")
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).text(folder)
+    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).text(folder, compression=compression)
 
 
 # --- reading
@@ -324,6 +326,7 @@ def _whole_files(spark: SparkSession, files: list[str]) -> DataFrame:
 
         for batch in batches:
             for content in batch.column("content").to_pylist():
+                content = gzip.decompress(content) if content.startswith(b"\x1f\x8b") else content
                 yield from _batched(cut(content), pa.schema([("raw", pa.binary()), ("head", pa.string()), ("file", pa.string())]), lambda r: len(r["raw"]))
 
     return spark.read.format("binaryFile").load(files).select("content").mapInArrow(run, "raw binary, head string, file string")

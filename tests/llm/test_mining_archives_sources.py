@@ -1,5 +1,6 @@
 """Hard negatives, archives and the source audit against brute force and on awkward rows."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -123,7 +124,7 @@ def test_hot_payloads(spark, tmp_path, monkeypatch):
 def test_splits_of_a_file(spark, pages, tmp_path):
     """One large file is read by several tasks."""
     folder = str(tmp_path / "s")
-    warc.write(pages.repartition(1), folder, segment=5000)
+    warc.write(pages.repartition(1), folder, segment=5000, compression="none")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
     try:
@@ -142,13 +143,14 @@ def framed(block, **fields):
 HTTP = b"HTTP/1.1 200 OK\r\ntransfer-Encoding: gzip, Chunked\r\n\r\n"
 
 
-def archive(tmp_path, *files):
+def archive(tmp_path, *files, ending=".warc"):
     for n, data in enumerate(files):
-        (tmp_path / f"{n}.warc").write_bytes(data)
+        (tmp_path / f"{n}{ending if n == 0 else '.warc'}").write_bytes(data)
     return str(tmp_path)
 
 
-def test_foreign_archives(spark, tmp_path):
+@pytest.mark.parametrize("packed", [False, True])
+def test_foreign_archives(spark, tmp_path, packed):
     """Marks inside payloads, segments in any order and file, chunk extensions and trailers, plain bodies."""
     plain = b"HTTP/1.0 200 OK\r\n\r\nfirst\r\n\r\nWARC/1.0\r\nContent-Length: 2\r\n\r\nok\r\n\r\nrest"
     whole = HTTP + b"5;a=b\r\nhello\r\nA\r\n, segments\r\n0\r\nx-trailer: 1\r\n\r\n"
@@ -156,7 +158,8 @@ def test_foreign_archives(spark, tmp_path):
     cut = [framed(parts[0], WARC_Type="response", WARC_Record_ID="<o>", X_Page_ID=2, warc_segment_number=1)]
     cut += [framed(p, WARC_Type="continuation", WARC_Record_ID=f"<o{n}>", WARC_Segment_Origin_ID="<o>", WARC_Segment_Number=n,
                    **({"WARC_Segment_Total_Length": len(whole)} if n == 4 else {})) for n, p in enumerate(parts[1:], 2)]
-    folder = archive(tmp_path, framed(plain, WARC_Type="response", X_Page_ID=1) + cut[3] + cut[1], cut[2] + cut[0])
+    first = [framed(plain, WARC_Type="response", X_Page_ID=1), cut[3], cut[1]]
+    folder = archive(tmp_path, b"".join(map(gzip.compress, first) if packed else first), cut[2] + cut[0], ending=".warc.gz" if packed else ".warc")
     rows = {r.page_id: r for r in warc.read(spark, folder, foreign=True).collect()}
     assert {i: bytes(r.payload) for i, r in rows.items()} == {1: plain.partition(b"\r\n\r\n")[2], 2: b"hello, segments"}
     assert all(r.fault is None for r in rows.values())
