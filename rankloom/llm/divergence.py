@@ -23,16 +23,15 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter, defaultdict
-from itertools import groupby, repeat
-from operator import itemgetter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rankloom import runtime
-from rankloom.llm.common import stored
+from rankloom.llm.common import stored, word_hashes
 from rankloom.llm.registry import query, table
 
 LEAST_DOCS = 3
@@ -54,7 +53,7 @@ FREQUENCIES = "shard int, lang string, term string, sources array<string>, count
 
 
 def terms_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LETTERS).split(b" ") if text else []
+    return text.encode("utf-8", "surrogatepass").translate(_LETTERS).split() if text else []
 
 
 class Block:
@@ -65,7 +64,7 @@ class Block:
         self.docs: dict[str, Counter] = defaultdict(Counter)
 
     def add(self, lang: str, source: str, text: str | None) -> None:
-        terms = [t for t in terms_of(text) if t]
+        terms = terms_of(text)
         self.counts[lang, source].update(terms)
         self.docs[lang].update(set(terms))
 
@@ -73,44 +72,49 @@ class Block:
         return sum(map(len, self.counts.values()))
 
     def runs(self, shards: int):
-        """One row for every language and shard, terms in order."""
+        """A batch for every language: one row for each shard, terms in order."""
         for lang, docs in self.docs.items():
+            if not docs:
+                continue
             sources = sorted(s for l, s in self.counts if l == lang)
-            found: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-            for n, source in enumerate(sources):
-                for term, count in self.counts[lang, source].items():
-                    found[term].append((n, count))
-            split: dict[int, list[bytes]] = defaultdict(list)
-            for term in sorted(found):
-                split[xxhash.xxh3_64_intdigest(term) % shards].append(term)
-            for shard, terms in split.items():
-                postings = [found[t] for t in terms]
-                yield {"shard": shard, "lang": lang, "sources": sources, "terms": terms, "docs": [docs[t] for t in terms],
-                       "places": [len(p) for p in postings], "who": [n for p in postings for n, _ in p], "counts": [c for p in postings for _, c in p]}
+            vocabulary = sorted(docs)
+            number = dict(zip(vocabulary, range(len(vocabulary))))
+            shard = (word_hashes(vocabulary) % np.uint64(shards)).astype(np.int64)
+            own = [self.counts[lang, s] for s in sources]
+            total = sum(map(len, own))
+            who = np.repeat(np.arange(len(sources), dtype=np.int32), list(map(len, own)))
+            term = np.fromiter((number[t] for c in own for t in c), np.int64, total)
+            count = np.fromiter((n for c in own for n in c.values()), np.int64, total)
+            postings = np.lexsort((who, term, shard[term]))
+            terms = np.argsort(shard, kind="stable")
+            places = np.bincount(term, minlength=len(vocabulary))[terms]
+            first = np.flatnonzero(np.diff(shard[terms], prepend=-1))
+            ends = np.concatenate(([0], np.cumsum(places)))
+            by_term = pa.array([*first, len(terms)], pa.int32())
+            by_posting = pa.array(ends[[*first, len(terms)]], pa.int32())
+            listed = pa.ListArray.from_arrays
+            yield pa.RecordBatch.from_arrays([
+                pa.array(shard[terms][first], pa.int32()), pa.array([lang] * len(first), pa.string()), pa.array([sources] * len(first), pa.list_(pa.string())),
+                listed(by_term, pa.array(vocabulary, pa.binary()).take(pa.array(terms))), listed(by_term, pa.array(np.fromiter(map(docs.__getitem__, vocabulary), np.int64)[terms])),
+                listed(by_term, pa.array(places, pa.int32())), listed(by_posting, pa.array(who[postings])), listed(by_posting, pa.array(count[postings]))],
+                names=["shard", "lang", "sources", "terms", "docs", "places", "who", "counts"])
 
 
 def runs(docs: DataFrame, shards: int, lang: str = "lang", source: str = "source", text: str = "text", postings: int = POSTINGS) -> DataFrame:
     """The runs of all tasks."""
-    schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("sources", pa.list_(pa.string())), ("terms", pa.list_(pa.binary())),
-                        ("docs", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("who", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-
-    def spilled(block: Block):
-        rows = list(block.runs(shards))
-        for start in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_pylist(rows[start:start + 64], schema)
 
     def run(batches):
         block, fresh = Block(), 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
                 block.add(*row)
-                fresh += 1 + len(row[2] or "") // 1024
+                fresh += 1 + len(row[2]) // 1024
                 if fresh > 256:  # the size is looked at now and then
                     fresh = 0
                     if block.size() >= postings:
-                        yield from spilled(block)
+                        yield from block.runs(shards)
                         block = Block()
-        yield from spilled(block)
+        yield from block.runs(shards)
 
     return _plain(docs, lang, source, text).mapInArrow(run, RUNS)
 
@@ -120,26 +124,49 @@ def _plain(docs: DataFrame, lang: str, source: str, *others: str) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in named])
 
 
+def _flat(data: pa.Table, column: str) -> pa.Array:
+    return data.column(column).combine_chunks().flatten()
+
+
 def _merged(data: pa.Table) -> pa.Table:
     """Term frequencies of one shard from its runs."""
-    out: dict[str, list] = {c: [] for c in ("shard", "lang", "term", "sources", "counts")}
-    rows = sorted(data.to_pylist(), key=itemgetter("lang"))
-    for lang, some in groupby(rows, key=itemgetter("lang")):
-        same = list(some)
-        starts = [np.concatenate(([0], np.cumsum(r["places"]))).tolist() for r in same]
-        cursors = [zip(r["terms"], repeat(n), range(len(r["terms"]))) for n, r in enumerate(same)]
-        for term, hits in groupby(heapq.merge(*cursors), key=itemgetter(0)):
-            docs, counts = 0, defaultdict(int)
-            for _, n, i in hits:
-                r = same[n]
-                docs += r["docs"][i]
-                for at in range(starts[n][i], starts[n][i + 1]):
-                    counts[r["sources"][r["who"][at]]] += r["counts"][at]
-            if docs >= LEAST_DOCS:
-                for c, v in zip(out, (rows[0]["shard"], lang, term.decode("utf-8", "surrogatepass"), list(counts), list(counts.values()))):
-                    out[c].append(v)
-    return pa.table({"shard": pa.array(out["shard"], pa.int32()), "lang": pa.array(out["lang"], pa.string()), "term": pa.array(out["term"], pa.string()),
-                     "sources": pa.array(out["sources"], pa.list_(pa.string())), "counts": pa.array(out["counts"], pa.list_(pa.int64()))})
+    tables = []
+    for lang in pc.unique(data.column("lang")):
+        same = data.filter(pc.equal(data.column("lang"), lang))
+        cursors = [zip(terms.as_py(), repeat(n)) for n, terms in enumerate(same.column("terms"))]
+        merged: list[bytes] = []
+        spots: list[list[int]] = [[] for _ in cursors]  # of each run's terms in the merged order
+        last = None
+        for term, n in heapq.merge(*cursors):
+            if term != last:
+                merged.append(term)
+                last = term
+            spots[n].append(len(merged) - 1)
+        spot = np.concatenate([np.array(s, dtype=np.int64) for s in spots])
+        docs = np.zeros(len(merged), dtype=np.int64)
+        np.add.at(docs, spot, _flat(same, "docs").to_numpy())
+        # a run's own numbers of sources become common ones
+        names = pc.unique(_flat(same, "sources"))
+        common = pc.index_in(_flat(same, "sources"), names).to_numpy()
+        before = np.concatenate(([0], np.cumsum(pc.list_value_length(same.column("sources")).to_numpy())))[:-1]
+        source = common[np.repeat(before, pc.list_value_length(same.column("who")).to_numpy()) + _flat(same, "who").to_numpy()]
+        term = np.repeat(spot, _flat(same, "places").to_numpy())
+        kept = docs[term] >= LEAST_DOCS
+        key = term[kept] * len(names) + source[kept]
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        if len(starts):
+            counts = np.add.reduceat(_flat(same, "counts").to_numpy()[kept][order], starts)
+            key = key[order][starts]
+            who, term = pa.array(key % len(names)), key // len(names)
+            first = np.flatnonzero(np.diff(term, prepend=-1))
+            cuts = pa.array([*first, len(term)], pa.int32())
+            words = pa.array([merged[i] for i in term[first].tolist()], pa.binary())
+            tables.append(pa.table({"shard": pa.array(np.full(len(first), data.column("shard")[0].as_py()), pa.int32()), "lang": pa.array([lang.as_py()] * len(first), pa.string()),
+                                    "term": words.cast(pa.string()), "sources": pa.ListArray.from_arrays(cuts, names.take(who)),
+                                    "counts": pa.ListArray.from_arrays(cuts, pa.array(counts))}))
+    schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    return pa.concat_tables([t.cast(schema) for t in tables]) if tables else schema.empty_table()
 
 
 def shard_count(docs: DataFrame) -> int:
@@ -170,65 +197,72 @@ def gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 _PARTS = "lang string, source string, part string, item string, value long"
 
 
-def _pair_sums(absent: np.ndarray, totals: np.ndarray, tally: list[Counter], present: list[tuple[np.ndarray, np.ndarray]]):
-    """(lo, hi, sums): divergences of the sources lo..hi from every source over the terms of a shard, at most CELLS
-    numbers at a time.  `present` has the sources of each term, ascending, and their p."""
-    n = len(absent)
-    counted = [(np.array(list(t), dtype=np.int64), np.array(list(t.values()), dtype=np.int64)) for t in tally]
-    alone = [(times, share(values, totals[s])) for s, (values, times) in enumerate(counted)]
+def _pair_sums(absent: np.ndarray, totals: np.ndarray, own: np.ndarray, p: np.ndarray, counts: np.ndarray, places: np.ndarray):
+    """(lo, hi, sums): divergences of the sources lo..hi from every source over the terms of a shard, CELLS numbers
+    at a time.  own, p, counts are those of the postings by term and source, `places` a term's number of postings."""
+    n, starts = len(absent), np.concatenate(([0], np.cumsum(places)))[:-1]
+    order = np.lexsort((counts, own))
+    edge = np.flatnonzero((np.diff(own[order], prepend=-1) != 0) | (np.diff(counts[order], prepend=0) != 0))
+    alone, of, times = p[order][edge], own[order][edge], np.diff(np.concatenate((edge, [len(order)])))
     for lo in range(0, n, max(1, CELLS // n)):
         hi = min(n, lo + max(1, CELLS // n))
         base = gap(absent[lo:hi, None], absent[None, :])
-        sums = len(present) * base
-        for s, (times, p) in enumerate(alone):
-            if len(p):
+        sums = len(places) * base
+        for s in np.unique(of):
+            for part in np.array_split(np.flatnonzero(of == s), -(-int((of == s).sum()) * n // CELLS)):
+                t, q = times[part][:, None], alone[part][:, None]
                 if lo <= s < hi:
-                    sums[s - lo] += (times[:, None] * (gap(p[:, None], absent[None, :]) - base[s - lo])).sum(axis=0)
-                sums[:, s] += (times[:, None] * (gap(absent[None, lo:hi], p[:, None]) - base[:, s])).sum(axis=0)
-        for own, p in present:
-            first, last = np.searchsorted(own, (lo, hi)) if hi - lo < n else (0, len(own))
-            if first < last:
-                a, pa_, spot = own[first:last], p[first:last, None], np.ix_(own[first:last] - lo, own)
+                    sums[s - lo] += (t * (gap(q, absent[None, :]) - base[s - lo])).sum(axis=0)
+                sums[:, s] += (t * (gap(absent[None, lo:hi], q) - base[:, s])).sum(axis=0)
+        flat = sums.reshape(-1)
+        for k in np.unique(places):
+            some = np.flatnonzero(places == k)
+            for part in np.array_split(some, -(-len(some) * int(k) * int(k) // CELLS)) if k > 1 else ():
+                at = starts[part][:, None] + np.arange(k)
+                a, b = own[at][:, :, None], own[at][:, None, :]
+                pa_, pb, za, zb = p[at][:, :, None], p[at][:, None, :], absent[a], absent[b]
                 # both have the term: instead of what each alone changes
-                sums[spot] += gap(pa_, p[None, :]) - gap(pa_, absent[own][None, :]) - gap(absent[a][:, None], p[None, :]) + base[spot]
+                more = gap(pa_, pb) - gap(pa_, zb) - gap(za, pb) + gap(za, zb)
+                here = np.broadcast_to((a >= lo) & (a < hi), more.shape)
+                np.add.at(flat, ((a - lo) * n + b)[here], more[here])
         yield lo, hi, sums
 
 
 def _streamed(key, freq: pa.Table, groups: pa.Table) -> pa.Table:
     """Partial sums of pairs and best terms of a language's part in one shard."""
-    names, out = ("lang", "source", "part", "item", "value"), []
+    out: list[pa.Table] = []
     if freq.num_rows:
-        sources = groups.column("source").to_pylist()
-        place = {s: n for n, s in enumerate(sources)}
+        freq = freq.sort_by("term")
+        lang, sources = groups.column("lang")[0], groups.column("source").combine_chunks()
         v, n_all = groups.column("v")[0].as_py(), groups.column("n_lang")[0].as_py()
         totals = groups.column("n").to_numpy().astype(np.int64) + v
-        absent = share(np.zeros(len(sources), dtype=np.int64), totals)
-        tally: list[Counter] = [Counter() for _ in sources]
-        best: list[list] = [[] for _ in sources]
-        present = []
-        for term, who, counts in zip(freq.column("term").to_pylist(), freq.column("sources").to_pylist(), freq.column("counts").to_pylist()):
-            own = np.array([place[s] for s in who])
-            p = share(np.array(counts), totals[own])
-            for s, c in zip(own.tolist(), counts):
-                tally[s][c] += 1
-            order = np.argsort(own)
-            present.append((own[order], p[order]))
-            q = share(np.array([sum(counts)]), n_all + v)[0]
-            name = term.encode("utf-8", "surrogatepass")
-            for s, value, more in zip(own.tolist(), gap(p, q).tolist(), (p > q).tolist()):
-                if more:
-                    best[s].append((-value, name, term))
-            if len(best[own[0]]) > 4 * TOP_TERMS:
-                best[own[0]] = heapq.nsmallest(TOP_TERMS, best[own[0]])
-        lang = groups.column("lang")[0].as_py()
-        for lo, hi, sums in _pair_sums(absent, totals, tally, present):
-            for a, b in zip(*np.nonzero(sums)):
-                if lo + a != b:
-                    out.append((lang, sources[lo + a], "pair", sources[b], int(sums[a, b])))
-        for s, found in enumerate(best):
-            out += [(lang, sources[s], "term", term, -value) for value, _, term in heapq.nsmallest(TOP_TERMS, found)]
-    columns = list(zip(*out)) if out else [()] * 5
-    return pa.table({n: pa.array(c, pa.int64() if n == "value" else pa.string()) for n, c in zip(names, columns)})
+        places = pc.list_value_length(freq.column("counts")).to_numpy().astype(np.int64)
+        own, counts = pc.index_in(_flat(freq, "sources"), sources).to_numpy().astype(np.int64), _flat(freq, "counts").to_numpy()
+        term = np.repeat(np.arange(len(places)), places)
+        order = np.lexsort((own, term))
+        own, counts = own[order], counts[order]
+        p = share(counts, totals[own])
+        absent = share(np.zeros(len(totals), dtype=np.int64), totals)
+
+        def add(part: str, a: np.ndarray, items: pa.Array, values: np.ndarray) -> None:
+            out.append(pa.table({"lang": pa.array([lang.as_py()] * len(a), pa.string()), "source": sources.take(pa.array(a)),
+                                 "part": pa.array([part] * len(a), pa.string()), "item": items, "value": pa.array(values, pa.int64())}))
+
+        for lo, hi, sums in _pair_sums(absent, totals, own, p, counts, places):
+            a, b = np.nonzero(sums)
+            other = lo + a != b
+            add("pair", lo + a[other], sources.take(pa.array(b[other])), sums[a[other], b[other]])
+        starts = np.concatenate(([0], np.cumsum(places)))[:-1]
+        q = share(np.add.reduceat(counts, starts), n_all + v)[term]
+        more = np.flatnonzero(p > q)
+        value = gap(p[more], q[more])
+        order = np.lexsort((term[more], -value, own[more]))  # terms are in order
+        more, value = more[order], value[order]
+        first = np.flatnonzero(np.diff(own[more], prepend=-1))
+        best = np.arange(len(more)) - np.repeat(first, np.diff(np.concatenate((first, [len(more)])))) < TOP_TERMS
+        add("term", own[more][best], freq.column("term").combine_chunks().take(pa.array(term[more][best])), value[best])
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
+    return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
 
 
 def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", postings: int = POSTINGS) -> DataFrame:
@@ -248,10 +282,11 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     other = groups.select("lang", F.col("source").alias("item"))
     sums = stored(parts)
     empty = groups.select("lang", "source").join(other, "lang").where("source <> item").select("lang", "source", F.lit("pair").alias("part"), "item", F.lit(0).cast("bigint").alias("value"))
-    found = sums.unionByName(empty).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), F.col("item").asc())
-    ranked = found.withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= TOP_TERMS))
+    pairs = sums.where("part = 'pair'").unionByName(empty).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item").asc())
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
+    # the first terms of a group are looked for in each task before the shuffle
+    return ranked(pairs).unionByName(ranked(sums.where("part = 'term'")).where(F.col("rank") <= TOP_TERMS))
 
 
 _SQL = """WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
