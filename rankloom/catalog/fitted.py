@@ -96,6 +96,38 @@ def _(t):
     return fit.mf_tables(model, x, y.where("g % 5 = 0"))
 
 
+def _masked_sql(steps: int, lr: float) -> str:
+    """The masked gradient steps written out, one chain of tables per step."""
+    f = (1, 2, 3)
+    each = lambda text: "[" + ", ".join(text.format(k=k) for k in f) + "]"
+    parts = [f"""WITH {SCORED}, vec AS MATERIALIZED (SELECT vec_id AS g, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IN (SELECT s_suppkey FROM supplier)),
+  pairs AS MATERIALIZED (SELECT g, i, y FROM scored JOIN vec USING (g)), lab AS MATERIALIZED (SELECT * FROM pairs WHERE y IS NOT NULL),
+  c AS (SELECT count(*) AS nk, avg(y) AS mu FROM lab),
+  w0 AS MATERIALIZED (SELECT k, [((j * 7 + k * 3) % 11) / 110 - 0.05 FOR j IN range(64)] AS w FROM range(1, 4) AS t(k)),
+  q0 AS MATERIALIZED (SELECT i, {each("((i * 5 + {k} * 3) % 13) / 130 - 0.05")} AS q, CAST(0 AS DOUBLE) AS b FROM (SELECT DISTINCT i FROM scored)),
+  p0 AS MATERIALIZED (SELECT g, list(list_dot_product(x, CAST(w AS DOUBLE[])) ORDER BY k) AS p, CAST(0 AS DOUBLE) AS b FROM vec, w0 GROUP BY g)"""]
+    for n in range(steps):
+        parts.append(f"""e{n} AS MATERIALIZED (SELECT g, i, y - (list_dot_product(p, CAST(q AS DOUBLE[])) + mu + a.b + d.b) AS e, q FROM lab JOIN p{n} AS a USING (g) JOIN q{n} AS d USING (i), c),
+  g{n} AS MATERIALIZED (SELECT g, sum(e) AS s, {each("sum(e * q[{k}])")} AS eq FROM e{n} GROUP BY g),
+  d{n} AS (SELECT k, j, sum(x[j] * eq[k]) AS d FROM g{n} JOIN vec USING (g), range(1, 65) AS r(j), range(1, 4) AS t(k) GROUP BY k, j),
+  w{n + 1} AS MATERIALIZED (SELECT k, list(w[j] + {lr} / nk * d ORDER BY j) AS w FROM w{n} JOIN d{n} USING (k), c GROUP BY k),
+  m{n} AS (SELECT g, list(list_dot_product(x, w) ORDER BY k) AS p FROM vec, w{n + 1} GROUP BY g),
+  p{n + 1} AS MATERIALIZED (SELECT g, m.p, a.b + coalesce({lr} / nk * s, 0) AS b FROM m{n} AS m JOIN p{n} AS a USING (g) LEFT JOIN g{n} USING (g), c),
+  h{n} AS (SELECT i, sum(e) AS s, {each("sum(e * p[{k}])")} AS ep FROM e{n} JOIN p{n + 1} USING (g) GROUP BY i),
+  q{n + 1} AS MATERIALIZED (SELECT i, {each("q[{k}] + coalesce(" + str(lr) + " / nk * ep[{k}], 0)")} AS q, b + coalesce({lr} / nk * s, 0) AS b FROM q{n} LEFT JOIN h{n} USING (i), c)""")
+    return ", ".join(parts) + f""" SELECT g, i, y, list_dot_product(p, q) + mu + a.b + d.b AS s FROM pairs JOIN p{steps} AS a USING (g) JOIN q{steps} AS d USING (i), c"""
+
+
+@query("fit_02_masked_steps", _masked_sql(3, 5.0), dbl="y s", num="g i")
+def _(t):
+    """Three masked steps from a given start."""
+    x, y = _xy(t)
+    f = F.sequence(F.lit(1), F.lit(3))
+    wp = t.spark.range(64).select(F.col("id").alias("pos"), F.transform(f, lambda k: (F.col("pos") * 7 + k * 3) % 11 / 110 - 0.05).alias("w"))
+    q = y.select("i").distinct().withColumn("q", F.transform(f, lambda k: (F.col("i") * 5 + k * 3) % 13 / 130 - 0.05))
+    return fit.mf_tables(fit.fit_mf(x, y, 3, 3, lr=5.0, start=(wp, q)), x, y)
+
+
 @query("fit_03_mf_tables")
 def _(t):
     x, y = _xy(t)

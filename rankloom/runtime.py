@@ -43,6 +43,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def below(root: str) -> str:
+    """A fresh path in a shared folder."""
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table this library wrote as an intermediate step and no longer reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _leaf_bytes(df: DataFrame, scans_only: bool = False) -> list[int]:
     found = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     leaves = [found.apply(n) for n in range(found.size())]

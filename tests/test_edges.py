@@ -201,11 +201,13 @@ def test_quoted_cells(spark, tmp_path):
 
 def test_masked_factors_keep_cancelling_errors(spark):
     import numpy as np
-    from rankloom.operators import fit
+    from rankloom.operators import factorisation, fit
     x = spark.createDataFrame([(1, [1.0]), (2, [-1.0])], "g int, x array<double>")
     y = spark.createDataFrame([(1, 0, 1.0), (2, 0, 1.0), (1, 1, 1.0)], "g int, i int, y double")
-    model = fit.fit_mf(x, y, f=1, iters=1, lr=0.01)
-    wp, wq = fit._start(1, 1), fit._start(2, 1)
+    wp, wq = factorisation._start(1, 1), factorisation._start(2, 1)
+    start = (spark.createDataFrame([(0, wp[0].tolist())], "pos long, w array<double>"),
+             spark.createDataFrame([(i, wq[i].tolist()) for i in (0, 1)], "i int, q array<double>"))
+    model = fit.fit_mf(x, y, f=1, iters=1, lr=0.01, start=start)
     e = {(g, i): 1.0 - (v * wp[0, 0] * wq[i, 0] + 1.0) for g, v in ((1, 1.0), (2, -1.0)) for i in (0, 1) if (g, i) != (2, 1)}
     s = np.array([[e[1, 0] - e[2, 0]], [e[1, 1]]])
     want = wp + 0.01 / 3 * (s.T @ wq)

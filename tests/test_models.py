@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import fit, similarity as K, smooth_rank
+from rankloom.operators import factorisation, fit, similarity as K, smooth_rank
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +57,7 @@ def _direct(x, r, f, iters, lr, mask):
     count = seen.sum()
     mu = r[seen].sum() / count
     bp, bq = (np.zeros(n), np.zeros(m)) if mask else (r.mean(1), r.mean(0))
-    wp, wq = fit._start(x.shape[1], f), fit._start(m, f)
+    wp, wq = factorisation._start(x.shape[1], f), factorisation._start(m, f)
     for _ in range(iters):
         e = np.where(seen, r - (x @ wp @ wq.T + mu + bq + bp[:, None]), 0.0)
         rmse = np.sqrt((e * e).sum() / count)
@@ -67,10 +67,50 @@ def _direct(x, r, f, iters, lr, mask):
     return wp, wq, bp, bq, rmse
 
 
-@pytest.mark.parametrize("mask,iters", [(False, 60), (True, 4)])
-def test_factorisation_follows_the_full_gradient(data, mask, iters):
+def _starts(spark, d, m, f):
+    return (spark.createDataFrame([(n, w.tolist()) for n, w in enumerate(factorisation._start(d, f))], "pos long, w array<double>"),
+            spark.createDataFrame([(n, w.tolist()) for n, w in enumerate(factorisation._start(m, f))], "i int, q array<double>"))
+
+
+@pytest.mark.parametrize("mask", [True, False])
+def test_a_stopped_fit_goes_on(data, tmp_path, mask, monkeypatch):
+    """The steps recorded before a failure are used, and the tables are those of an undisturbed fit."""
+    _, _, xs, ys = data
+    fitted = lambda folder: fit.fit_mf(xs, ys, 2, 5, lr=0.2, mask=mask, report_every=2, blocks=(16, 2, 4), state=folder, with_ndcg=mask)
+    whole = fitted(str(tmp_path / "whole"))
+    record = factorisation._Steps.record
+
+    def stops(self, step, *rest):
+        record(self, step, *rest)
+        if step == 2:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(factorisation._Steps, "record", stops)
+    with pytest.raises(RuntimeError):
+        fitted(str(tmp_path / "part"))
+    monkeypatch.setattr(factorisation._Steps, "record", record)
+    again = fitted(str(tmp_path / "part"))
+    done = fitted(str(tmp_path / "part"))
+    for other in (again, done):
+        assert (other.wp == whole.wp).all() and (other.wq == whole.wq).all() and (other.bq == whole.bq).all()
+        assert other.bias.orderBy("g").collect() == whole.bias.orderBy("g").collect()
+        assert [h[1] for h in other.history] == pytest.approx([h[1] for h in whole.history])
+    assert [h[0] for h in whole.history] == [0, 2, 4] and (not mask or all(0 < h[2] <= 1 for h in whole.history))
+
+
+def test_fixed_projection(data):
+    x, y, xs, ys = data
+    model = fit.fit_mf(xs, ys, 6, 2, lr=0.2, fixed=True, blocks=(16, 2, 4))
+    assert (model.wp == np.eye(6)).all() and model.history[1][1] < model.history[0][1]
+    with pytest.raises(ValueError):
+        fit.fit_mf(xs, ys, 3, 2, fixed=True)
+
+
+@pytest.mark.parametrize("mask,iters,dim", [(False, 60, 1024), (False, 3, 0), (True, 4, 1024)])
+def test_factorisation_follows_the_full_gradient(data, mask, iters, dim, monkeypatch):
     x, y, xs, ys = data
-    model = fit.fit_mf(xs, ys, 3, iters, lr=0.2, mask=mask, report_every=1, segment=2)
+    monkeypatch.setattr(factorisation, "MOMENT_DIM", dim)
+    model = fit.fit_mf(xs, ys, 3, iters, lr=0.2, mask=mask, report_every=20, blocks=(16, 2, 4), start=_starts(xs.sparkSession, 6, 5, 3))
     wp, wq, bp, bq, rmse = _direct(x, y, 3, iters, 0.2, mask)
     assert np.allclose(model.wp, wp) and np.allclose(model.wq, wq) and np.allclose(model.bq, bq)
     assert model.history[-1][1] == pytest.approx(rmse)
