@@ -85,8 +85,10 @@ def block_product(a: DataFrame, b: DataFrame, row: str, inner: str, col: str, le
                                                none(kinds[inner]).alias("s"), "c", none("double").alias("v")))
     rights = b.select(every(nr).alias("rb"), spot("s", ns, 2).alias("sb"), spot("c", nc, 3).alias("cb"), "s", "c", "v")
 
+    limited = only is not None
+
     def multiply(x: pa.Table, y: pa.Table) -> pa.Table:
-        wanted = x.filter(pc.is_null(x.column("s"))) if only is not None else None
+        wanted = x.filter(pc.is_null(x.column("s"))) if limited else None
         x = x.filter(pc.is_valid(x.column("s")))
         if not (x.num_rows and y.num_rows) or (wanted is not None and not wanted.num_rows):
             return pa.table({"r": x.column("r").slice(0, 0), "c": y.column("c").slice(0, 0), "w": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})

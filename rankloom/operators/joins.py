@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions.vectors import dot
+from rankloom.operators.blocks import block_product
 from rankloom.operators.filters import SEGMENT, item_segments
 from rankloom.operators.ordering import first_per_key
 
@@ -120,8 +121,7 @@ def attach_names(props: DataFrame, names: DataFrame, key: str = "cid") -> DataFr
 
 def kernel_predict(kernel: DataFrame, weights: DataFrame) -> DataFrame:
     """Sum over training groups t of k(g, t) * w(t, i)."""
-    return (kernel.join(weights, "t").groupBy("g", "i")
-            .agg(F.sum(F.col("k") * F.col("w")).alias("s")))
+    return block_product(kernel, weights, "g", "t", "i", "k", "w", "s")
 
 
 def factor_scores(pairs: DataFrame, p: DataFrame, q: DataFrame, mu: float, by: str = "g",

@@ -20,16 +20,21 @@ def score_order(score: str, item: str = "i") -> list[Column]:
     return [F.col(score).desc_nulls_last(), F.col(item).asc()]
 
 
+COUNT = object()
+
+
 def grouped_rank(df: DataFrame, by: list[str], order: list[Column], out: str = "rank",
-                 hot_rows: int | None = None) -> DataFrame:
+                 hot_rows: int | None = None, hot: DataFrame | None | object = COUNT) -> DataFrame:
     """1-based row number per group.
 
     Ordinary groups use a window.  Groups found to be hot are range-partitioned on the
-    order itself, numbered piece by piece, and shifted by the rows in earlier pieces."""
+    order itself, numbered piece by piece, and shifted by the rows in earlier pieces.  The hot
+    groups are counted, unless the caller has them from `hot_groups`."""
     if not by:
         return _ranged_rank(df, [], order, out)
     window = Window.partitionBy(*by).orderBy(*order)
-    hot = hot_groups(df, by, hot_rows)
+    if hot is COUNT:
+        hot = hot_groups(df, by, hot_rows)
     if hot is None:
         return df.withColumn(out, F.row_number().over(window).cast("long"))
     cold = join_groups(df, hot, by, "left_anti").withColumn(out, F.row_number().over(window).cast("long"))

@@ -43,6 +43,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, computed once however often they are read."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def below(root: str) -> str:
     """A fresh path in a shared folder."""
     return f"{root}/{uuid.uuid4().hex}"
