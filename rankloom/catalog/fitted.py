@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from rankloom.catalog.fixtures import SCORED, scored, vectors
 from rankloom.catalog.registry import query
 from rankloom.operators import fit, splits
+from rankloom.operators.blocks import block_product
 from rankloom.operators.metrics import ndcg
 from rankloom.operators.scoring import score_deep_cross
 from rankloom.operators.surrogate import rank_surrogate, surrogate_gradient
+from rankloom.operators.wide import fit_en_wide, predict_sparse
+from rankloom.runtime import written
 
 
 def _xy(t):
@@ -68,6 +71,29 @@ def _(t):
         F.max("n").alias("n"), ((F.max(gap) < 1e-6) & (F.max("centre") < 1e-8)).alias("optimal"))
 
 
+_WIDE_LABELS = """SELECT i, count(*) AS n, true AS optimal FROM (SELECT l_suppkey AS g, l_partkey % 40 AS i FROM lineitem
+  WHERE l_suppkey IN (SELECT vec_id FROM embeddings) GROUP BY 1, 2) GROUP BY i HAVING count(*) >= 5"""
+
+
+@query("fit_04_wide_optimal", _WIDE_LABELS, num="i n")
+def _(t):
+    """Elastic net over 10,000 features a row: every coefficient satisfies the optimality conditions."""
+    at = lambda j, step: F.element_at("x", (F.floor(j / step) % 64 + 1).cast("int"))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(9999)), lambda j: at(j, 1) * at(j, 64) * (64 + j / 1000) + at(j, 4096))
+    y = t.lineitem.groupBy(F.col("l_suppkey").alias("g"), (F.col("l_partkey") % 40).alias("i")).agg(F.avg("l_quantity").alias("y"))
+    x = written(vectors(t).join(y.select("g"), "g", "left_semi").select("g", wide.alias("x")))
+    alpha, l1 = 30 / x.count() ** 0.5, 0.5  # slopes of noise fall with the root of the samples
+    models = written(fit_en_wide(x, y, alpha, l1))
+    seen = written(predict_sparse(y, x, models).where("s IS NOT NULL").select("g", "i", (F.col("y") - F.col("s")).alias("e")))
+    slopes = block_product(x.select("g", F.posexplode("x").alias("f", "v")), seen, "f", "g", "i", "v", "e", "slope")
+    sizes = seen.groupBy("i").agg(F.count("*").alias("n"), F.abs(F.avg("e")).alias("centre"))
+    coefs = models.select("i", F.explode(F.arrays_zip("feats", "coef")).alias("p")).select("i", F.col("p.feats").alias("f"), F.col("p.coef").alias("w"))
+    slope = F.col("slope") / F.col("n")
+    gap = F.when(F.col("w").isNull(), F.abs(slope) - alpha * l1).otherwise(F.abs(slope - alpha * (1 - l1) * F.col("w") - alpha * l1 * F.signum("w")))
+    return slopes.join(sizes, "i").join(coefs, ["f", "i"], "left").groupBy("i").agg(
+        F.max("n").alias("n"), ((F.max(gap) < 1e-5) & (F.max("centre") < 1e-8)).alias("optimal"))
+
+
 @query("fit_06_tune_elastic_net")
 def _(t):
     x, y = _xy(t)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import factorisation, fit, similarity as K, smooth_rank
+from rankloom.operators import factorisation, fit, similarity as K, smooth_rank, wide
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +33,35 @@ def test_elastic_net_meets_its_optimality_conditions(data):
         assert (np.abs(grad[~on]) <= r.alpha * r.l1 + 1e-6).all()
 
 
+@pytest.mark.parametrize("size, added", [(16 << 20, 64), (8 * 6 * 3, 1)])
+def test_wide_elastic_net_is_the_elastic_net(data, size, added, monkeypatch):
+    """In one block, and in blocks of three groups and items with one feature added a round."""
+    x, y, xs, ys = data
+    monkeypatch.setattr(wide, "TILE_BYTES", size)
+    monkeypatch.setattr(wide, "ADDED", added)
+    plain = {r.i: r for r in fit.fit_en(xs, ys, [0.3], [0.6], tol=1e-12, sweeps=20_000).collect()}
+    models = wide.fit_en_wide(xs, ys, 0.3, 0.6, tol=1e-12)
+    found = {r.i: r for r in models.collect()}
+    assert set(found) == set(plain)
+    for i, r in found.items():
+        coef = np.zeros(6)
+        coef[r.feats] = r.coef
+        assert r.intercept == pytest.approx(plain[i].intercept, abs=1e-5) and coef == pytest.approx(np.array(plain[i].coef), abs=1e-5)
+    assert any(0 < len(r.feats) < 6 for r in found.values())
+    want = {(r.g, r.i): r.s for r in fit.predict_linear(ys, xs, fit.fit_en(xs, ys, [0.3], [0.6], tol=1e-12, sweeps=20_000)).collect()}
+    assert {(r.g, r.i): r.s for r in wide.predict_sparse(ys, xs, models).collect()} == pytest.approx(want, abs=1e-4)
+
+
+def test_wide_fits_of_few_or_no_labels(data):
+    _, _, xs, ys = data
+    assert wide.fit_en_wide(xs, ys, 0.3, 0.6, min_samples=1000).count() == 0
+    assert wide.fit_en_wide(xs, ys.where("false"), 0.3, 0.6).count() == 0
+    flat = wide.fit_en_wide(xs, ys, 1e6, 0.6).collect()  # no feature is worth its penalty
+    assert len(flat) == 5 and all(r.feats == [] for r in flat)
+    with pytest.raises(ValueError):
+        wide.fit_en_wide(xs, ys, 0.3, 0.0)
+
+
 def test_kernel_ridge_equals_the_kernel_solution(data):
     x, y, xs, ys = data
     z = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True) / np.sqrt(x.shape[1])
