@@ -83,6 +83,10 @@ class Encoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         # matches of the pattern, joined by a byte that no merge has, are merged in one call of the library
         self.whole = Tokenizer.from_file(path)
+        # added tokens are cut out of the texts before, as the library does
+        added = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
+        self.added = {content: np.array([i], dtype="<u4").tobytes() for content, i in added.items()}
+        self.cutter = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.whole.encode_special_tokens = True
         self.whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.gap, = self.whole.encode(GAP, add_special_tokens=False).ids
@@ -126,7 +130,18 @@ class Encoder:
             known[u] = known[u[:-1]] + marks[u[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as bytes of unsigned 32-bit integers."""
+        """Ids of each text, as bytes of unsigned 32-bit integers; an added token in a text has its own id."""
+        holding = [n for n, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not holding:
+            return self._encode(texts)
+        parts = {n: self.cutter.split(texts[n]) for n in holding}
+        plain = self._encode([*(t for n, t in enumerate(texts) if n not in parts), *(p for some in parts.values() for p in some[::2])])
+        rest = iter(plain[len(texts) - len(holding):])
+        joined = {n: b"".join(self.added[p] if at % 2 else next(rest) for at, p in enumerate(some)) for n, some in parts.items()}
+        others = iter(plain)
+        return [joined[n] if n in joined else next(others) for n in range(len(texts))]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MEMORY_UNITS:
             self.known, self.older = {}, self.known
         cut = [units(t, self.pattern) for t in texts]

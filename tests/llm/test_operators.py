@@ -329,7 +329,6 @@ def test_codes():
 
 def test_token_files(spark, texts):
     library = Tokenizer.from_file(public_tokenizers.path(tokenfile.VOCABULARY))
-    library.encode_special_tokens = True
     got, start = result(spark, "op6_rank_varint"), 0
     for i in sorted(texts):
         ids = np.array(library.encode(texts[i], add_special_tokens=False).ids + [0], dtype="<u4")
@@ -339,13 +338,16 @@ def test_token_files(spark, texts):
 
 def test_token_files_of_awkward_rows(spark, odd, nothing, tmp_path):
     library = Tokenizer.from_file(public_tokenizers.path(tokenfile.VOCABULARY))
-    library.encode_special_tokens = True
     texts = [" ".join(random.Random(i).choice(["a\n", "\n\n b", "x ", "\t", "é", "<|endoftext|>", "don't"]) for _ in range(9)) for i in range(60)]
     rows = odd.unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     tokenfile.write(rows, str(tmp_path / "a"))
     got = tokenfile.read(spark, str(tmp_path / "a")).collect()
-    back = sorted(library.decode(np.frombuffer(bytes(r.ids), "<u4")[:-1].tolist()) for r in got)
+    back = sorted(library.decode(np.frombuffer(bytes(r.ids), "<u4")[:-1].tolist(), skip_special_tokens=False) for r in got)
     assert back == sorted(t or "" for t in [t for _, t in ODD] + texts)
+    found = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in got}
+    for i, text in enumerate(texts):  # the library as it is, with its added token
+        assert found[100 + i] == library.encode(text, add_special_tokens=False).ids + [0]
+    assert any("<|endoftext|>" in t for t in texts)
     assert [r.start for r in sorted(got, key=lambda r: r.start)][0] == 0 and all(len(r.ids) >= 4 for r in got)
     tokenfile.write(nothing, str(tmp_path / "b"))
     assert tokenfile.read(spark, str(tmp_path / "b")).count() == 0
