@@ -296,17 +296,98 @@ def test_private_spans_of_random_texts(spark):
     assert len(rows) == len(cases)
 
 
-def test_contexts_discover(spark, nothing):
-    rows = [(i, f"write to user u{i}@mail.example.org please, order {i} of none") for i in range(40)]
-    rows += [(100, "write to user u77@mail.example please"), (101, None), (102, "nothing here"), (100, "write to user u77@mail.example please")]
-    seeds = [(f"call id-{i}-x now +1 555 000 {1000 + i}") for i in range(9)]
-    found = {(r.doc_id, r.spans) for r in pii.find(spark.createDataFrame(rows + [(200 + i, s) for i, s in enumerate(seeds)], "doc_id long, text string"))
-             .select("doc_id", pii.listed(F.col("spans")).alias("spans")).collect()}
-    assert (101, "") in found and (102, "") in found and len(found) == 52
+def contexts(before, value, after):
+    """The lexical patterns of a value, by plain string work."""
+    words = before[-pii.WINDOW:].rstrip(" \t\n\r\f\v([\"'<").lower().split()
+    left = re.search(r"(\S+)$", " ".join(words))
+    if not left or re.search("[0-9@]", left[1]):
+        return []
+    rest = after[:pii.WINDOW].lower().lstrip(" \t\n\r\f\v")
+    right = rest[0] if rest and rest[0] in ")]\"'>,.;:!?" else re.split(r"[\s)\]\"'>,.;:!?]", rest)[0]
+    shape = re.sub("[0-9]+", "9", re.sub("[A-Za-zé漢字]+", "a", value))
+    two = [f"{words[-2]} {words[-1]} *"] if len(words) > 1 else []
+    return [f"{left[1]} * {'#' if re.search('[0-9@]', right) else right}", *two, f"{left[1]} {shape}"]
+
+
+def unknown(text, judged):
+    """Instances that overlap nothing judged: (start, end, patterns, value)."""
+    hits, out = [m for m in re.finditer(r"[^\s(\[\"'<]+", text, re.ASCII) if re.search("[0-9@]", m[0])], []
+    for n, m in enumerate(hits):
+        core = m[0].rstrip(")]\"'>,.;:!?")
+        before = text[hits[n - 1].end() if n else 0:m.start()]
+        after = m[0][len(core):] + text[m.end():hits[n + 1].start() if n + 1 < len(hits) else len(text)]
+        here = contexts(before, core, after)
+        span = (m.start(), m.start() + len(core))
+        if here and len(core) >= pii.LEAST and re.search("[0-9@]", core) and not any(a < span[1] and span[0] < b for a, b in judged):
+            out.append((*span, here, core))
+    return out
+
+
+def believed(tokens):
+    """Trusted patterns of (patterns, value, seed) triples: the graph's rounds in plain Python."""
+    edges, seed = {}, {}
+    for names, value, known in tokens:
+        for p in names:
+            edges.setdefault(p, set()).add(value)
+        if names and known is not None:
+            seed[value] = max(seed.get(value, 0.0), float(known))
+    belief = {v: seed.get(v, 0.0) for vs in edges.values() for v in vs}
+    for _ in range(pii.ROUNDS):
+        score = {p: sum(belief[v] for v in vs) / (len(vs) + pii.SMOOTH) for p, vs in edges.items()}
+        best = {}
+        for p, vs in edges.items():
+            for v in vs:
+                best[v] = max(best.get(v, 0.0), score[p])
+        belief = {v: seed.get(v, best[v]) for v in belief}
+    score = {p: sum(belief[v] for v in vs) / (len(vs) + pii.SMOOTH) for p, vs in edges.items()}
+    return {p for p, vs in edges.items() if score[p] >= pii.CONFIDENCE and sum(belief[v] >= pii.CONFIDENCE for v in vs) >= pii.SUPPORT}
+
+
+# Emails and codes share one context, codes alone have another; years and a failed card number have neither.
+BADGES = ([f"one his badge u{i}@mail.example.org was seen" for i in range(30)]
+          + [f"one his badge Q{i:03d}-X{i}7 was seen then her pass Q{i:03d}-X{i}7 shown" for i in range(30)]
+          + [f"and her pass Q{900 + i}-X{i}7 shown" for i in range(5)] + [f"in the year {1900 + i} we went" for i in range(60)]
+          + ["his badge 4111 1111 1111 1112 was seen", "his badge 4111111111111112 was seen", "his badge (is) gone"])
+
+
+def test_contexts_discover_unseen_forms(spark, nothing):
+    rows = spark.createDataFrame(list(enumerate(BADGES)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find(rows.unionByName(rows)).select("doc_id", pii.listed(F.col("spans")).alias("spans")).collect()}
+    for i, text in enumerate(BADGES):
+        wanted = [f"context:{m.start()}:{m.end()}" for m in re.finditer(r"Q[0-9]+-X[0-9]+", text)]
+        wanted += [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+@\S+", text)]
+        assert found[i] == ",".join(wanted), text
     assert pii.find(nothing).count() == 0
-    trusted = spark.createDataFrame([(i, f"user no{i}: badge {i} is user a{i}@b.co") for i in range(30)] + [(99, "is user a99@b.co and is user a98@bco")], "doc_id long, text string")
-    spans = {r.doc_id: r.spans for r in pii.find(trusted).collect()}
-    assert len(spans) == 31
+    assert "her pass <ID> shown" in {r.text[4:] for r in pii.redact(rows).collect()}
+
+
+def test_context_graph_is_brute_force(spark, texts):
+    rng = random.Random(15)
+    pieces = ["a@b.co", "x@b", "1", "2555", "10.0.0.1", "10.0.0.999", "+1 (743) 555-3824", "4111 1111 1111 1111", "4111111111111112", "the", "call", "é", "漢字",
+              "(", "\"", "no.", "id7-x9", "id8-x9,", "A77z", ":", "\n", "  ", "badge"]
+    cases = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(1500)] + BADGES + list(texts.values())[:40]
+    cases += ["".join(rng.choice(pieces + [" "]) for _ in range(rng.randrange(30))) for _ in range(500)] + ["no id7-x9 " * 900 + "call 10.0.0.1"]
+    rows = common.stored(pii.scan(spark.createDataFrame(list(enumerate(cases)), "n long, text string")))
+    judged = {r.n: [(j.start, j.end) for j in r.j] for r in spark.createDataFrame(list(enumerate(cases)), "n long, text string").select(
+        "n", pii._judged(F.col("text")).alias("j")).collect()}
+    tokens, texts_once = [], set()
+    for r in rows.collect():
+        got = [(t.start, t.end, t.patterns, t.value) for t in r.tokens if t.seed is None]
+        assert got == unknown(cases[r.n], judged[r.n]), repr(cases[r.n])
+        assert {(t.start, t.end) for t in r.tokens if t.seed} <= {(s.start, s.end) for s in r.base} <= set(judged[r.n])
+        if r.digest not in texts_once:
+            tokens += [(t.patterns, t.value, t.seed) for t in r.tokens]
+        texts_once.add(r.digest)
+    trusted = believed(tokens)
+    assert trusted and {r.pattern for r in pii.patterns(rows).collect()} == trusted
+
+
+def test_very_many_findings_in_one_text(spark):
+    numbers, mails = " ".join(str(1_000_000 + i) for i in range(60_000)), "é a@b.cd " * 60_000
+    rows = pii.redact(spark.createDataFrame([(1, numbers), (2, mails)], "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in rows.collect()} == {1: numbers, 2: "é <EMAIL> " * 60_000}
+    spans = {r.doc_id: r.base for r in pii.scan(spark.createDataFrame([(2, mails)], "doc_id long, text string")).collect()}[2]
+    assert [(s.start, s.end) for s in spans] == [(9 * i + 2, 9 * i + 8) for i in range(60_000)]
 
 
 def test_redaction(spark, odd, nothing):
