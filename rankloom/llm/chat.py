@@ -127,22 +127,32 @@ def _parts(m: Mapping, read):
 
 def canonical_json(df: DataFrame, column: str, mappings=None) -> DataFrame:
     """Add (layout, turns) to rows with a JSON object of any known layout; unknown layouts and text
-    that is no JSON object give nulls.  The fingerprint of each row selects its mapping."""
+    that is no JSON object give nulls.  The fingerprint of each row selects its mapping; rows whose
+    named fields have no mapping's fingerprint get the largest one that fits in them, as tables do.
+    A field of a list is there if any element has it."""
     mappings = [m for m in (MAPPINGS if mappings is None else mappings) if m.kind != "rows"]
     v = F.try_parse_json(F.col(f"`{column}`"))
-    named = sorted({p for m in mappings for p in m.paths()})
-    there = [F.when(F.try_variant_get(v, "$." + p.replace("[]", "[0]"), "string").isNotNull(), F.lit(p)) for p in named]
-    found = F.md5(F.concat_ws("|", *there).cast("binary"))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for print_, m in _table(mappings).items():
+
+    def there(path: str):
+        array, _, field = path.partition("[].")
+        if not field:
+            return F.try_variant_get(v, f"$.{path}", "string").isNotNull()
+        return F.exists(F.try_variant_get(v, f"$.{array}", "array<variant>"), lambda e: F.try_variant_get(e, f"$.{field}", "string").isNotNull())
+
+    def turns_by(m: Mapping):
         if m.kind == "list":
             array, role, said = m.fields
-            items = F.try_variant_get(v, f"$.{array}", f"array<struct<`{role}`: string, `{said}`: string>>")
-            own = _items(items, role, said)
-        else:
-            own = _parts(m, lambda f: F.try_variant_get(v, f"$.{f}", "string"))
-        layout = F.when(found == print_, F.lit(m.name)).otherwise(layout)
-        turns = F.when(found == print_, own.cast(TURNS)).otherwise(turns)
+            return _items(F.try_variant_get(v, f"$.{array}", f"array<struct<`{role}`: string, `{said}`: string>>"), role, said)
+        return _parts(m, lambda f: F.try_variant_get(v, f"$.{f}", "string"))
+
+    named = F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in sorted({p for m in mappings for p in m.paths()})]))
+    found = F.md5(F.concat_ws("|", named).cast("binary"))
+    fits = lambda m: F.size(F.array_except(F.array(*[F.lit(p) for p in m.paths()]), named)) == 0
+    exact = [F.when(found == print_, F.lit(m.name)) for print_, m in _table(mappings).items()]
+    inside = [F.when(fits(m), F.lit(m.name)) for m in sorted(mappings, key=lambda m: -len(m.paths()))]
+    layout, turns = F.coalesce(*exact, *inside), F.lit(None).cast(TURNS)
+    for m in reversed(mappings):
+        turns = F.when(layout == m.name, turns_by(m).cast(TURNS)).otherwise(turns)
     return df.withColumns({"layout": layout, "turns": turns})
 
 

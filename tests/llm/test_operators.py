@@ -129,6 +129,15 @@ def test_chat_layouts(spark):
     assert chat.read_back(chat.format_turns(chat.canonical(rows.limit(0)))).count() == 0
 
 
+def test_json_of_several_layouts_takes_the_largest(spark):
+    raw = spark.createDataFrame([('{"prompt": "p", "response": "r", "question": "q"}',), ('{"instruction": "a", "input": "b", "output": "c", "prompt": "p"}',),
+                                 ('{"messages": [{"role": "assistant", "content": null}, {"role": "user", "content": "m"}]}',),
+                                 ('{"question": "q", "prompt": "p"}',), ('{"messages": []}',), ('{"messages": {"role": "user", "content": "m"}}',)], "raw string")
+    done = [(r.layout, [tuple(t) for t in r.turns] if r.turns else None) for r in chat.canonical_json(raw, "raw").collect()]
+    assert done == [("prompt", [("user", "p"), ("assistant", "r")]), ("instruction with input", [("user", "a\nb"), ("assistant", "c")]),
+                    ("messages", [("assistant", ""), ("user", "m")]), (None, None), (None, None), (None, None)]
+
+
 # --- decontamination
 
 
