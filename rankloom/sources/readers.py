@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import re
 import warnings
 
@@ -102,8 +101,10 @@ def _cells(line, width: int, sep: str):
 
 
 def _width(lines: DataFrame, sep: str) -> int:
-    """The most cells that any of the lines can have."""
-    return lines.agg(F.max(F.size(F.split("value", re.escape(sep))))).first()[0] or 1
+    """The most cells that any of the lines has; separators inside quoted cells are none."""
+    mark = re.escape(sep)
+    bare = F.regexp_replace("value", rf'(^|{mark})"(?:[^"\\]|\\.)*+"', "$1")
+    return lines.agg(F.max(F.size(F.split(bare, mark)))).first()[0] or 1
 
 
 def read_region(spark: SparkSession, path: str, id_row: int = 5, name_row: int = 6, first_row: int = 7,
@@ -147,16 +148,18 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t", comment: str = "#",
                    skip_rows: int = 0, skip_cols: int = 0, names: list[str] | None = None) -> DataFrame:
     """Delimited text, gzip or plain, without `#` lines, the first rows or the first columns.
+    Without `names` the longest row decides the number of columns, found by one pass; shorter rows
+    end with NULLs.  A record is a line, blank ones are none; quoted line breaks end it.
     A gzip file cannot be split, so its rows are spread after reading."""
-    if skip_rows == 0:
+    lines = _lines(spark, path).where(~F.col("value").startswith(comment))
+    if skip_rows == 0 and names:
         raw = spark.read.csv(path, sep=sep, comment=comment, header=False)
         cells = raw.select(*raw.columns[skip_cols:])
     else:
-        kept = _after(_lines(spark, path).where(~F.col("value").startswith(comment)), skip_rows)
-        first = kept.first()
-        width = len(names) + skip_cols if names else len(next(csv.reader([first["value"]], delimiter=sep, escapechar="\\"))) if first else 0
-        parts = _cells(F.col("value"), max(width, 1), sep)
-        cells = kept.select(*[parts[i].alias(f"_c{i}") for i in range(skip_cols, width)])
+        kept = _after(lines, skip_rows)
+        width = len(names) + skip_cols if names else max(_width(kept, sep), skip_cols + 1)
+        parts = _cells(F.col("value"), width, sep)
+        cells = kept.where("value <> ''").select(*[parts[i].alias(f"_c{i}") for i in range(skip_cols, width)])
     if path.endswith(".gz"):
         cells = cells.repartition(shuffle_partitions(cells))
     return cells.toDF(*names) if names else cells

@@ -46,6 +46,17 @@ def test_delimited_gzip_with_comments(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [("k1", "1"), ("k2", "2")]
 
 
+@pytest.mark.parametrize("skip", [0, 1])
+def test_delimited_rows_of_several_lengths(spark, tmp_path, skip):
+    path = tmp_path / "rows.csv"
+    write(path, "t\n" * skip + "a,b\n\"x,y\",2\n# note, with, many, commas\nc,d,e\n\"p\",\"q, r, s, t\",u\nf\n")
+    got = R.read_delimited(spark, str(path), sep=",", skip_rows=skip)
+    assert got.columns == ["_c0", "_c1", "_c2"]
+    assert sorted(map(tuple, got.collect())) == [("a", "b", None), ("c", "d", "e"), ("f", None, None), ("p", "q, r, s, t", "u"), ("x,y", "2", None)]
+    write(tmp_path / "none.csv", "")
+    assert R.read_delimited(spark, str(tmp_path / "none.csv"), sep=",", skip_rows=skip).count() == 0
+
+
 def test_resolve_prefers_earlier_patterns(spark, tmp_path):
     (tmp_path / "a").mkdir()
     write(tmp_path / "a" / "x.txt", "1")
