@@ -1,11 +1,13 @@
 """Benchmark decontamination: training passages as queries to a BM25 index of test items.
 
 The index holds, per term, the items it is in with the weight it gives them: its BM25 share of the
-item's own score, so a passage with all words of an item scores 1.  Postings lie in blocks with the
-largest weight of each.  Every document is cut into passages (windows as long as the longest item,
-one every quarter of that), and every passage asks for all items that score THRESHOLD or more, by
-block-max WAND: terms in order of their next item, a pivot where the sum of their largest weights
-reaches the threshold, the sum of the blocks' largest weights as a second test, then the exact score.
+item's own score, so a passage with all words of an item scores 1.  Postings lie in flat arrays, in blocks
+with the largest weight of each.  An item's passages are windows of PASSAGE words, doubled until the
+item fits, one every quarter of that; items of one window share an index, so that what is found of an
+item does not depend on the others' lengths.  Every document is cut into the passages of each index,
+and every passage asks for all items that score THRESHOLD or more, by block-max WAND: terms in order
+of their next item, a pivot where the sum of their largest weights reaches the threshold, the sum of
+the blocks' largest weights as a second test, then the exact score.
 
 Most text can't reach the threshold at all.  So before passages are cut, stretches of text are bounded
 for all items at once: the weights of a stretch's distinct rare terms, plus all that common terms can
@@ -19,8 +21,9 @@ Words are runs of other characters than ASCII white space and punctuation, with
 
 Null and empty texts have no passages, items without a word are never found.  Items with equal text
 are indexed once and each found.  Null ids and repeated rows stay as they are; extra columns are ignored; an empty
-table gives no rows.  Texts are read whole.  An index has at most INDEX_POSTINGS postings; more items are
-split by hash into several indexes, used one after the other with common statistics."""
+table gives no rows.  Texts are read whole.  An index has some INDEX_POSTINGS postings at most; more
+items of a window are split by the hash of their text into several indexes.  All indexes are used one
+after the other, with common statistics, and any split of them finds the same."""
 
 from __future__ import annotations
 
@@ -29,12 +32,13 @@ import re
 import string
 from collections import Counter
 from itertools import repeat
+from typing import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rankloom.llm.common import slices, strings
+from rankloom.llm.common import slices, stored, strings
 from rankloom.llm.registry import query, table
 
 K1, B = 1.2, 0.75
@@ -56,7 +60,7 @@ def terms_of(text: str) -> list[bytes]:
 
 def halves(text: str) -> tuple[list[bytes], list[bytes]]:
     """Words of the question and of the answer."""
-    sentences = [w for w in map(terms_of, re.split(r"(?<=[.!?])\s+", text)) if w]
+    sentences = [w for w in map(terms_of, re.split(r"(?<=[.!?])\s+", text, flags=re.ASCII)) if w]
     if len(sentences) > 1:
         return [w for s in sentences[:-1] for w in s], sentences[-1]
     words = sentences[0] if sentences else []
@@ -69,6 +73,39 @@ def runs(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i:i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
+def window_of(words: int) -> int:
+    """Words of an item's passages: PASSAGE, doubled until the item fits."""
+    return PASSAGE << max(0, math.ceil(math.log2(words / PASSAGE))) if words > PASSAGE else PASSAGE
+
+
+class Rows:
+    """Rows of unlike lengths in one flat array."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.starts = flat, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+    @classmethod
+    def of(cls, rows: Iterable[list[int]]) -> Rows:
+        rows = list(rows)
+        return cls(np.fromiter((v for r in rows for v in r), dtype=np.int32), np.array([len(r) for r in rows], dtype=np.int64))
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def __getitem__(self, i: int) -> memoryview:
+        return memoryview(self.flat)[self.starts[i]:self.starts[i + 1]]
+
+
+class Runs:
+    """The word runs of every item, made when one is asked for."""
+
+    def __init__(self, words: Rows, names: list[bytes]):
+        self.words, self.names = words, names
+
+    def __getitem__(self, item: int) -> set[tuple[bytes, ...]]:
+        return runs([self.names[t] for t in self.words[item]])
+
+
 class Index:
     """Inverted index of test items: (item_id, text) pairs, with the statistics of all items."""
 
@@ -76,77 +113,83 @@ class Index:
         equal: dict[str, list[int]] = {}
         for i, t in items:
             equal.setdefault(t, []).append(i)
-        items = [(ids, t) for t, ids in equal.items()]
         self.ids = list(equal.values())
-        counts = [Counter(terms_of(t)) for _, t in items]
-        halved = [halves(t) for _, t in items]
-        self.question, self.answer = [runs(q) for q, _ in halved], [runs(a) for _, a in halved]
-        self.window = max([PASSAGE, *(sum(c.values()) for c in counts)])
+        self.terms: dict[bytes, int] = {}
+        longest = 0
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in frequency.items()}
-        postings: dict[bytes, list[tuple[int, float]]] = {}
-        for item, c in enumerate(counts):
-            length = sum(c.values())
-            weight = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean_length)) for t, f in c.items()}
-            own = sum(weight.values())
-            for t, w in weight.items():
-                postings.setdefault(t, []).append((item, w / own))
-        self.terms = {t: i for i, t in enumerate(postings)}
-        self.items = [[i for i, _ in p] for p in postings.values()]
-        self.weights = [[w for _, w in p] for p in postings.values()]
-        self.largest = [max(w) for w in self.weights]
-        self.blocks = [[max(w[i:i + BLOCK]) for i in range(0, len(w), BLOCK)] for w in self.weights]
+        questions, answers, of_item, of_weight = [], [], [], []
+        for text in equal:
+            words = terms_of(text)
+            longest = max(longest, len(words))
+            count = Counter(words)
+            weight = np.array([idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean_length)) for t, f in count.items()])
+            of_item.append(np.array([self.terms.setdefault(t, len(self.terms)) for t in count], dtype=np.int32))
+            of_weight.append(weight / sum(weight.tolist()))
+            question, answer = halves(text)
+            questions.append([self.terms[t] for t in question])
+            answers.append([self.terms[t] for t in answer])
+        names = list(self.terms)
+        self.question, self.answer = Runs(Rows.of(questions), names), Runs(Rows.of(answers), names)
+        self.window = window_of(longest)
+        term = np.concatenate([np.empty(0, dtype=np.int32), *of_item])
+        item = np.repeat(np.arange(len(of_item), dtype=np.int32), [len(t) for t in of_item])
+        order = np.argsort(term, kind="stable")
+        sizes = np.bincount(term, minlength=len(names))
+        self.items = Rows(item[order], sizes)
+        self.weights = Rows(np.concatenate([np.empty(0), *of_weight])[order], sizes)
+        per_term = -(-sizes // BLOCK)
+        block = np.arange(per_term.sum()) - np.repeat(np.cumsum(per_term) - per_term, per_term)
+        first = np.repeat(self.items.starts[:-1], per_term) + BLOCK * block
+        self.blocks = Rows(np.maximum.reduceat(self.weights.flat, first) if len(first) else np.empty(0), per_term)
+        self.largest = np.maximum.reduceat(self.weights.flat, self.items.starts[:-1]) if len(names) else np.empty(0)
         self.bound_by(threshold)
 
     def bound_by(self, threshold: float) -> None:
         """Choose the rare terms, so that no item reaches the threshold without one."""
         self.threshold = threshold
-        limit = max(COMMON_ITEMS, COMMON_SHARE * len(self.ids))
-        self.rare = np.array([len(p) <= limit for p in self.items], dtype=bool)
+        sizes = np.diff(self.items.starts)
+        self.rare = sizes <= max(COMMON_ITEMS, COMMON_SHARE * len(self.ids))
         # what common terms can add to each item
-        self.rest = np.zeros(len(self.ids))
-        common = sorted((len(p), t) for t, p in enumerate(self.items) if not self.rare[t])
-        for _, t in common:
-            self.rest[self.items[t]] += self.weights[t]
-        for _, t in common:
+        common = np.repeat(~self.rare, sizes)
+        self.rest = np.bincount(self.items.flat[common], self.weights.flat[common], minlength=len(self.ids))
+        for t in sorted(np.flatnonzero(~self.rare).tolist(), key=lambda t: (sizes[t], t)):
             over = self.rest >= threshold - 1e-6
             if not over.any():
                 break
-            if over[self.items[t]].any():
+            its = np.asarray(self.items[t])
+            if over[its].any():
                 self.rare[t] = True
-                self.rest[self.items[t]] -= self.weights[t]
-        sizes = np.array([len(p) if r else 0 for p, r in zip(self.items, self.rare)], dtype=np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(sizes)))
-        keep = [i for i in range(len(sizes)) if self.rare[i]]
-        self.flat_items = np.array([i for k in keep for i in self.items[k]], dtype=np.int64)
-        self.flat_weights = np.array([w for k in keep for w in self.weights[k]])
+                self.rest[its] -= np.asarray(self.weights[t])
 
     def hopeful(self, ids: np.ndarray, stretch: np.ndarray, threshold: float) -> np.ndarray:
         """The stretches (numbers) in which some item may reach the threshold."""
         key = np.unique(stretch * len(self.terms) + ids)
         stretch, ids = np.divmod(key, len(self.terms))
-        sizes = self.starts[ids + 1] - self.starts[ids]
+        starts = self.items.starts
+        sizes = starts[ids + 1] - starts[ids]
         total = int(sizes.sum())
         if not total:
             return np.empty(0, dtype=np.int64)
-        at = np.repeat(self.starts[ids] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(total)
-        pair = np.repeat(stretch, sizes) * len(self.ids) + self.flat_items[at]
+        at = np.repeat(starts[ids] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(total)
+        pair = np.repeat(stretch, sizes) * len(self.ids) + self.items.flat[at]
         order = np.argsort(pair, kind="stable")
         pair = pair[order]
         first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-        bound = np.add.reduceat(self.flat_weights[at[order]], first) + self.rest[pair[first] % len(self.ids)]
+        bound = np.add.reduceat(self.weights.flat[at[order]], first) + self.rest[pair[first] % len(self.ids)]
         return np.unique(pair[first][bound >= threshold - 1e-9] // len(self.ids))
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items that score `threshold` or more for the distinct terms: block-max WAND."""
         found = []
         end = len(self.ids)
-        cursors = [[self.items[t][0], t, 0] for t in terms]  # next item, term, place in its postings
+        # next item, term, place in its postings, their items, weights and blocks, the largest weight
+        cursors = [[self.items[t][0], t, 0, self.items[t], self.weights[t], self.blocks[t], float(self.largest[t])] for t in terms]
         while True:
             cursors = [c for c in cursors if c[0] < end]
             cursors.sort()
             bound, pivot = 0.0, -1
             for i, c in enumerate(cursors):
-                bound += self.largest[c[1]]
+                bound += c[6]
                 if bound >= threshold - 1e-9:
                     pivot = i
                     break
@@ -158,11 +201,11 @@ class Index:
             # blocks that may hold the item, and the least item beyond one of them
             bound, beyond = 0.0, end
             for c in cursors[:pivot + 1]:
-                posting, place = self.items[c[1]], c[2]
+                posting, place = c[3], c[2]
                 block = place // BLOCK
                 while (block + 1) * BLOCK < len(posting) and posting[(block + 1) * BLOCK - 1] < item:
                     block += 1
-                bound += self.blocks[c[1]][block]
+                bound += c[5][block]
                 last = posting[min((block + 1) * BLOCK, len(posting)) - 1]
                 beyond = min(beyond, last + 1)
             if bound < threshold - 1e-9:
@@ -175,13 +218,13 @@ class Index:
             for c in cursors[:pivot + 1]:
                 self._seek(c, item)
                 if c[0] == item:
-                    score += self.weights[c[1]][c[2]]
+                    score += c[4][c[2]]
                     self._seek(c, item + 1)
             if score >= threshold - 1e-9:
                 found.append((item, score))
 
     def _seek(self, cursor: list, target: int) -> None:
-        posting, place = self.items[cursor[1]], cursor[2]
+        posting, place = cursor[3], cursor[2]
         while place < len(posting) and posting[place] < target:
             # whole blocks at a time where they end before the target
             place = place + BLOCK if place % BLOCK == 0 and place + BLOCK <= len(posting) and posting[place + BLOCK - 1] < target else place + 1
@@ -234,33 +277,50 @@ def share(wanted: set, there: set) -> float:
 
 
 def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", threshold: float = THRESHOLD):
-    """The indexes of all items, one after the other."""
+    """The indexes of all items, one after the other: by window, and by hash of the text within one."""
     items = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    def measure(batches):
+        for batch in batches:
+            windows = [window_of(len(terms_of(t))) for t in batch.column("text").to_pylist()]
+            yield batch.append_column("window", pa.array(windows, pa.int64()))
+
     def count(batches):
         for batch in batches:
             found: Counter = Counter()
-            length = 0
-            for t in batch.column("text").to_pylist():
+            length: Counter = Counter()
+            for t, w in zip(batch.column("text").to_pylist(), batch.column("window").to_pylist()):
                 terms = terms_of(t)
-                length += len(terms)
-                found.update(set(terms))
-            yield pa.RecordBatch.from_arrays([pa.array([*found, b""], pa.binary()), pa.array([*found.values(), batch.num_rows], pa.int64()),
-                                              pa.array([0] * len(found) + [length], pa.int64())], names=["term", "n", "length"])
-
-    stats = items.mapInArrow(count, "term binary, n long, length long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
-    whole = stats.agg(F.sum("n").alias("postings"), F.max(F.when(F.length("term") == 0, F.col("n"))).alias("n"), F.sum("length").alias("length")).first()
-    shards = -(-(whole["postings"] or 0) // INDEX_POSTINGS)
-    for shard in range(shards):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard)
-        rows = sorted((r["item_id"] is None, r["item_id"] or 0, r["text"]) for r in some.collect())
-        mine = {t for *_, text_ in rows for t in terms_of(text_)}
-        terms = some.sparkSession.createDataFrame([(bytearray(t),) for t in mine], "term binary")
-        # statistics of one index's terms only; with one index these are all terms
-        wanted = stats if shards == 1 else stats.join(terms, "term", "left_semi")
-        frequency = {bytes(r["term"]): r["n"] for r in wanted.collect() if r["term"]}
-        if mine:
-            yield Index([(None if null else i, t) for null, i, t in rows], frequency, whole["n"], whole["length"] / whole["n"], threshold)
+                length[w] += len(terms)
+                found.update((w, term) for term in {b"", *terms})  # the empty term counts the items
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w for w, _ in keys], pa.int64()), pa.array([t for _, t in keys], pa.binary()), pa.array(found.values(), pa.int64()),
+                 pa.array([0 if t else length[w] for w, t in keys], pa.int64())], names=["window", "term", "n", "length"])
+
+    items = items.mapInArrow(measure, "item_id long, text string, window long")
+    stats = stored(items.mapInArrow(count, "window long, term binary, n long, length long")
+                   .groupBy("window", "term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")))
+    terms = stats.where(F.length("term") > 0).groupBy("term").agg(F.sum("n").alias("n"))
+    # a row per window, of which there are as many as the longest item can be halved
+    sizes = stats.groupBy("window").agg(F.sum(F.when(F.length("term") > 0, F.col("n"))).alias("postings"),
+                                        F.sum(F.when(F.length("term") == 0, F.col("n"))).alias("n"), F.sum("length").alias("length"))
+    windows = sorted(sizes.collect())
+    total, length = sum(w["n"] for w in windows), sum(w["length"] for w in windows)
+    for w in windows:
+        shards = -(-(w["postings"] or 0) // INDEX_POSTINGS)
+        for shard in range(shards):
+            some = items.where((F.col("window") == w["window"]) & (F.pmod(F.xxhash64("text"), F.lit(shards)) == shard))
+            rows = sorted((r["item_id"] is None, r["item_id"] or 0, r["text"]) for r in some.collect())
+            rows = [(null, i, t) for null, i, t in rows if terms_of(t)]
+            if not rows:
+                continue
+            mine = {t for *_, text_ in rows for t in terms_of(text_)}
+            here = some.sparkSession.createDataFrame([(bytearray(t),) for t in mine], "term binary")
+            # statistics of one index's terms only; with one index these are all terms
+            wanted = terms if shards == len(windows) == 1 else terms.join(here, "term", "left_semi")
+            frequency = {bytes(r["term"]): r["n"] for r in wanted.collect()}
+            yield Index([(None if null else i, t) for null, i, t in rows], frequency, total, length / total, threshold)
 
 
 _FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, end_word long"

@@ -184,6 +184,41 @@ def test_split_indexes_agree(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in QUERIES["op3_bm25_decontamination"](spark, FOLDER).collect()} == one
 
 
+def test_finds_do_not_depend_on_other_items_or_the_cut(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda name, n: " ".join(f"{name}{rng.randrange(10 ** 6)}" for _ in range(n))
+    item, longer, big = text("q", 24), text("m", 150), text("b", 4000)
+    words = item.split()
+    apart = " ".join(f"{text('f', 250)} {' '.join(words[i:i + 4])}" for i in range(0, 24, 4))
+    docs = spark.createDataFrame([(1, apart), (2, f"{text('f', 500)} {item} {text('f', 30)}"), (3, f"{text('f', 70)} {longer}"),
+                                  (4, f"{text('f', 900)} {big} {text('f', 9)}"), (5, text("f", 3000))], "doc_id long, text string")
+    found = []
+    for rows in ([(1, item), (2, longer)], [(1, item), (2, longer), (3, big)]):
+        bench = spark.createDataFrame(rows, "item_id long, text string")
+        for size in (4_000_000, 30):
+            monkeypatch.setattr(decontaminate, "INDEX_POSTINGS", size)
+            found.append({(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} - {(4, 3)})
+            assert (4, 3) in {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} or len(rows) == 2
+    assert found == [{(2, 1), (3, 2)}] * 4
+
+
+def test_index_is_small():
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 20_000}" for _ in range(40))) for i in range(8_000)]
+    frequency = Counter(t for _, x in items for t in set(decontaminate.terms_of(x)))
+    index = decontaminate.Index(items, frequency, len(items), 40.0)
+    held = [index.items, index.weights, index.blocks, index.question.words, index.answer.words]
+    size = sum(r.flat.nbytes + r.starts.nbytes for r in held) + index.largest.nbytes + index.rest.nbytes + index.rare.nbytes
+    assert size + 150 * len(index.terms) < 40 * len(index.items.flat)  # a term's name and place in the dictionary
+
+
+def test_sentences_end_at_ascii_space(spark):
+    text = "one two three four.\u00a0five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"some words {text} other words")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1)]
+
+
 @pytest.mark.parametrize("copies", [5, 100])
 def test_repeated_and_common_items_are_found(copies):
     rng = random.Random(4)
