@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from rankloom.catalog.fixtures import SCORED, scored, vectors
 from rankloom.catalog.registry import query
-from rankloom.operators import fit, splits
+from rankloom.operators import fit, splits, tuning
 from rankloom.operators.blocks import block_product
 from rankloom.operators.metrics import ndcg
 from rankloom.operators.scoring import score_deep_cross
+from rankloom.operators.similarity import pearson_pairs
 from rankloom.operators.surrogate import rank_surrogate, surrogate_gradient
 from rankloom.operators.wide import fit_en_wide, predict_sparse
 from rankloom.runtime import written
@@ -108,6 +109,86 @@ def _(t):
     return fit.tune(x, y, split, lambda a, b: fit.fit_krr(a, b, [0.1, 1.0, 10.0]), 10, kernel=True)
 
 
+# Twelve groups with vectors, of which every fourth is held out, and labels that miss some items.
+def _nested(t):
+    x = vectors(t).where("g < 12")
+    y = t.lineitem.groupBy((F.col("l_orderkey") % 12).alias("g"), (F.col("l_partkey") % 30).alias("i")).agg((F.avg("l_quantity") / 10).alias("y"))
+    y = y.withColumn("y", F.when((F.col("g") + F.col("i")) % 7 != 0, F.col("y")))
+    return x, y, x.select("g", (F.col("g") % 4 == 3).alias("is_val"))
+
+
+_NESTED = """vec AS MATERIALIZED (SELECT vec_id AS g, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 12),
+  lab AS MATERIALIZED (SELECT l_orderkey % 12 AS g, l_partkey % 30 AS i, CASE WHEN (l_orderkey % 12 + l_partkey % 30) % 7 <> 0 THEN avg(l_quantity) / 10 END AS y
+    FROM lineitem GROUP BY 1, 2)"""
+_KERNEL = """ker AS (SELECT a.g AS g1, b.g AS g2, (list_dot_product(a.v, b.v) / len(a.v) - list_avg(a.v) * list_avg(b.v)) / (list_stddev_pop(a.v) * list_stddev_pop(b.v)) AS k
+    FROM vec AS a, vec AS b), raw AS MATERIALIZED (SELECT g1 AS g, list(k ORDER BY g2) AS x FROM ker WHERE g2 % 4 <> 3 GROUP BY g1)"""
+
+
+def _judged_sql(points: str, scores: str) -> str:
+    """Mean NDCG@10 of the held-out groups for every grid point."""
+    return f"""sc AS (SELECT lab.g, lab.i, y, grid, alpha, l1, s FROM lab CROSS JOIN ({points}) AS p LEFT JOIN ({scores}) AS f USING (g, i, grid) WHERE lab.g % 4 = 3),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY grid, g ORDER BY s DESC NULLS LAST, i) AS rs, row_number() OVER (PARTITION BY grid, g ORDER BY y DESC, i) AS ry
+    FROM sc WHERE y IS NOT NULL),
+  per AS (SELECT grid, alpha, l1, g, sum(CASE WHEN rs <= 10 THEN (pow(2, y) - 1) / log2(rs + 1) END) / sum(CASE WHEN ry <= 10 THEN (pow(2, y) - 1) / log2(ry + 1) END) AS n
+    FROM rk GROUP BY ALL)
+  SELECT grid, alpha, l1, avg(n) AS val_ndcg, row_number() OVER (ORDER BY avg(n) DESC, grid) = 1 AS is_best FROM per GROUP BY grid, alpha, l1"""
+
+
+def _points(alphas, l1s=(0.0,)) -> str:
+    values = ", ".join(f"({n}, CAST({a} AS DOUBLE), CAST({l} AS DOUBLE))" for n, (a, l) in enumerate((a, l) for a in alphas for l in l1s))
+    return f"SELECT * FROM (VALUES {values}) AS v(grid, alpha, l1)"
+
+
+def _nested_net_sql(d: int, raw: str, alphas, l1s, steps: int = 3000) -> str:
+    """The elastic net by proximal gradient steps on the moments of the inner groups."""
+    f = range(1, d + 1)
+    each = lambda text: "[" + ", ".join(text.format(j=j) for j in f) + "]"
+    gram = "[" + ", ".join(f"avg(x[{j}] * x[{k}]) - avg(x[{j}]) * avg(x[{k}])" for j in f for k in f) + "]"
+    slope = f"c[j] - list_dot_product(gram[(j - 1) * {d} + 1 : j * {d}], w) - alpha * (1 - l1) * w[j]"
+    return f"""WITH RECURSIVE {_NESTED}, {raw},
+  st AS (SELECT {each("avg(x[{j}])")} AS m, {each("CASE WHEN stddev_pop(x[{j}]) = 0 THEN 1 ELSE stddev_pop(x[{j}]) END")} AS sd FROM raw WHERE g % 4 <> 3),
+  z AS MATERIALIZED (SELECT g, {each("(x[{j}] - m[{j}]) / sd[{j}]")} AS x FROM raw, st),
+  mo AS MATERIALIZED (SELECT i, avg(y) AS my, {each("avg(x[{j}])")} AS mx, {gram} AS gram, {each("avg(x[{j}] * y) - avg(x[{j}]) * avg(y)")} AS c,
+    {" + ".join(f"var_pop(x[{j}])" for j in f)} AS top FROM lab JOIN z USING (g) WHERE g % 4 <> 3 AND y IS NOT NULL GROUP BY i HAVING count(*) >= 5),
+  it AS (SELECT 0 AS n, i, grid, alpha, l1, {each("CAST(0 AS DOUBLE)")} AS w FROM mo, ({_points(alphas, l1s)}) AS p
+    UNION ALL SELECT n + 1, i, grid, alpha, l1, [sign(u) * greatest(abs(u) - alpha * l1 / (top + alpha), 0) FOR u IN [w[j] + ({slope}) / (top + alpha) FOR j IN range(1, {d + 1})]]
+    FROM it JOIN mo USING (i) WHERE n < {steps}),
+  {_judged_sql(_points(alphas, l1s), f"SELECT z.g, i, grid, my + list_dot_product(w, x) - list_dot_product(w, mx) AS s FROM it JOIN mo USING (i), z WHERE n = {steps}")}"""
+
+
+def _nested_ridge_sql(d: int, alphas, steps: int = 600) -> str:
+    """Kernel ridge by Richardson steps on the inner block; a group without the item's label has weight 0."""
+    return f"""WITH RECURSIVE {_NESTED}, {_KERNEL},
+  inner_ AS (SELECT g, x, row_number() OVER (ORDER BY g) AS r FROM raw WHERE g % 4 <> 3), k AS (SELECT flatten(list(x ORDER BY g)) AS k FROM inner_),
+  mo AS MATERIALIZED (SELECT i, list(coalesce(y, 0) ORDER BY r) AS y, list(CASE WHEN y IS NULL THEN 0 ELSE 1 END ORDER BY r) AS known
+    FROM (SELECT DISTINCT i FROM lab) CROSS JOIN inner_ LEFT JOIN lab USING (g, i) GROUP BY i HAVING count(y) >= 5),
+  it AS (SELECT 0 AS n, i, grid, alpha, [CAST(0 AS DOUBLE) FOR j IN range({d})] AS w FROM mo, ({_points(alphas)}) AS p
+    UNION ALL SELECT n + 1, i, grid, alpha, [known[j] * (w[j] + (y[j] - list_dot_product(k[(j - 1) * {d} + 1 : j * {d}], w) - alpha * w[j]) / ({d} + alpha)) FOR j IN range(1, {d + 1})]
+    FROM it JOIN mo USING (i), k WHERE n < {steps}),
+  {_judged_sql(_points(alphas), f"SELECT raw.g, i, grid, list_dot_product(w, x) AS s FROM it, raw WHERE n = {steps}")}"""
+
+
+@query("fit_06_scaled_vectors", _nested_net_sql(5, "raw AS (SELECT g, v[1:5] AS x FROM vec)", [0.2, 0.6], [0.2, 0.6]), dbl="alpha l1 val_ndcg", num="grid")
+def _(t):
+    """Elastic net on vectors scaled by the inner groups."""
+    x, y, split = _nested(t)
+    return tuning.tune_en(x.select("g", F.slice("x", 1, 5).alias("x")), y, split, [0.2, 0.6], [0.2, 0.6], 10)
+
+
+@query("fit_06_kernel_columns", _nested_net_sql(9, _KERNEL, [0.2, 0.6], [0.2, 0.6]), dbl="alpha l1 val_ndcg", num="grid")
+def _(t):
+    """Elastic net on the similarities to the inner groups."""
+    x, y, split = _nested(t)
+    return tuning.tune_en_kernel(pearson_pairs(x), y, split, [0.2, 0.6], [0.2, 0.6], 10)
+
+
+@query("fit_06_kernel_ridge_inner", _nested_ridge_sql(9, [0.5, 2.0]), dbl="alpha l1 val_ndcg", num="grid")
+def _(t):
+    """Kernel ridge whose columns are the inner groups."""
+    x, y, split = _nested(t)
+    return tuning.tune_krr_kernel(pearson_pairs(x), y, split, [0.5, 2.0], 10)
+
+
 @query("fit_01_mf_zero_filled")
 def _(t):
     x, y = _xy(t)

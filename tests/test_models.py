@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import factorisation, fit, similarity as K, smooth_rank, wide
+from rankloom.operators import factorisation, fit, similarity as K, smooth_rank, tuning, wide
 
 
 @pytest.fixture(scope="module")
@@ -190,3 +190,21 @@ def test_network_scores_by_hand(spark):
     # p = 2, q = 3, match = 6, base = (2, 3, 6); deep = relu(2 - 6 + 6) * 2 = 4
     # cross = base * 2 + (0, 1, 0) + base = (6, 10, 18); sum = 4 + 34 + 6 + 10
     assert score_deep_cross(pairs, xs, items, weights).first().s == pytest.approx(54.0)
+
+
+def test_nested_tuning_of_wide_vectors_and_lost_pairs(data, spark, monkeypatch):
+    _, _, xs, ys = data
+    split = xs.select("g", (F.col("g") % 4 == 0).alias("is_val"))
+    judge = lambda: {r.grid: (r.alpha, r.l1, r.val_ndcg, r.is_best) for r in tuning.tune_en(xs, ys, split, [0.1, 0.5], [0.5], tol=1e-11).collect()}
+    plain = judge()
+    monkeypatch.setattr(fit, "MAX_DIM", 5)
+    assert set(plain) == {0, 1} and sum(p[3] for p in plain.values()) == 1
+    for grid, point in judge().items():
+        assert point == pytest.approx(plain[grid], abs=1e-9)
+    scaled = tuning.scale_vectors(xs, split.where("not is_val")).toPandas().set_index("g")["x"]
+    inner = np.array([scaled[g] for g in range(40) if g % 4])
+    assert np.allclose(inner.mean(0), 0) and np.allclose(inner.std(0), 1) and not np.allclose(scaled[0], 0)
+    pairs = K.pearson_pairs(xs).where("g1 <> 3 or g2 <> 5")
+    with pytest.raises(Exception, match="lacks kernel values"):
+        tuning.kernel_columns(pairs, split.where("not is_val")).collect()
+    assert tuning.tune_en(xs, ys.where("false"), split, [0.1], [0.5]).count() == 0
