@@ -208,3 +208,13 @@ def test_nested_tuning_of_wide_vectors_and_lost_pairs(data, spark, monkeypatch):
     with pytest.raises(Exception, match="lacks kernel values"):
         tuning.kernel_columns(pairs, split.where("not is_val")).collect()
     assert tuning.tune_en(xs, ys.where("false"), split, [0.1], [0.5]).count() == 0
+
+
+def test_conjugate_gradients_are_the_kernel_solution(data, spark, monkeypatch):
+    _, _, xs, ys = data
+    kernel, some = K.rbf_pairs(xs, None, 0.05), ys.where("i < 2 and (i = 0 or g < 20)")
+    fits = lambda: {(r.i, r.grid, r.t): r.w for r in fit.fit_krr_kernel(kernel, some, [20.0, 60.0]).collect()}
+    plain = fits()
+    monkeypatch.setattr(fit, "DUAL_LABELS", 20)  # one item has more
+    assert fits() == pytest.approx(plain, abs=1e-9)
+    assert fit.fit_krr_hot(kernel, some, [20.0], min_samples=1000).count() == 0
