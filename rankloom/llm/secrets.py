@@ -6,11 +6,12 @@ could be drawn at random from that alphabet: chi-squared uniformity of the chara
 runs above and below the middle of the alphabet, and the serial correlation of neighbours.  The
 smallest of their p-values, times three, is the token's randomness.
 
-How random ordinary writing looks is measured per length class and encoding on NULLS tokens made of
-the text's own words and numbers of less than TOKEN characters, joined to the least length of the
-class; so the null does not depend on how many long words there are.  The words are those of smallest
-hash, at most PIECES, drawn in proportion to the root of their number, so that neither rare junk nor
-one common line rules; a few fixed pieces come with them.  The share of null tokens that is as random is a
+How random ordinary writing looks is measured per length class and encoding on tokens made of all
+words and numbers of less than TOKEN characters in the texts, shuffled, joined and cut at the least length of
+the class; so the null does not depend on how many long words there are.  Each piece is there as often
+as the root of its number, so that neither rare junk nor one common line rules; a few fixed pieces come
+with them, and all are shuffled anew until there are NULLS tokens at least.  The pieces are dealt by hash
+into decks, one per task, whose counts are added.  The share of null tokens that is as random is a
 candidate's p-value; where few are, it is the extrapolation of the share's own decay, an upper bound
 as the decay gets steeper.
 Candidates are all tokens with a letter or digit, also those of letters or digits alone; ordinary long
@@ -24,7 +25,6 @@ never overlaps a base span.  Existing columns of the output names are replaced."
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import zlib
@@ -32,7 +32,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rankloom.llm.common import slices, stored, strings
@@ -49,9 +48,9 @@ TOKEN = 16
 CLASSES = [16, 20, 24, 32, 40, 48, 64, 96]
 BINS = 256
 Q = 0.01
-# Ordinary words, and as many numbers, that the null is made of, and its tokens per class and encoding.
-PIECES = 2048
+# Least null tokens per class and encoding, and pieces (with repeats) of a deck.
 NULLS = 20_000
+DECK = 1 << 16
 # Share of numbers among the pieces of encodings with letters and digits, and of words with a capital
 # where both cases occur; least null tokens of a share that is taken as it is.
 NUMBERS, CAPITALS = 0.2, 0.5
@@ -75,6 +74,8 @@ ALPHABETS = [
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"),
 ]
+# Encodings whose places are the same but for case have one null.
+SAME = {"HEX": "hex", "upper": "lower", "upper36": "lower36"}
 _SETS = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in ALPHABETS]
 
 
@@ -146,57 +147,80 @@ def _is_word(token: str) -> bool:
     return token.isalpha() and (token.islower() or token.isupper() or token.istitle())
 
 
-def ordinary(texts: list[str]) -> list[dict]:
-    """Words and numbers of less than TOKEN characters with their counts: PIECES of smallest hash of each."""
+def ordinary(texts: list[str]) -> Counter:
+    """Words and numbers of less than TOKEN characters with their counts."""
     counts: Counter = Counter()
     for t in texts:
         counts.update(_PIECE.findall(t))
-    kinds = ([w for w in counts if len(w) < TOKEN and _is_word(w)], [w for w in counts if len(w) < TOKEN and w.isdigit()])
-    return [{"piece": w, "hash": _hash(w)[0], "n": counts[w]} for some in kinds for w in heapq.nsmallest(PIECES, some, key=_hash)]
+    return Counter({w: n for w, n in counts.items() if len(w) < TOKEN and (_is_word(w) or w.isdigit())})
 
 
-def _hash(piece: str) -> tuple[int, str]:
-    return xxhash.xxh3_64_intdigest(piece) >> 1, piece
-
-
-def null_shares(name: str, cls: int, pieces: dict[str, int]) -> np.ndarray:
-    """The share of ordinary writing in an encoding that is in each bin or a more random one."""
-    letters = next(a for n, a in ALPHABETS if n == name)
+def _stream(name: str, pieces: tuple[list[str], list[str]], copies: tuple[np.ndarray, np.ndarray], rng: np.random.Generator) -> np.ndarray:
+    """Places in an encoding of words and numbers, shuffled and joined; each piece has its copies at least."""
+    letters = dict(ALPHABETS)[name]
     places = {c: i for i, c in enumerate(letters)}
-    held = (any(c.isalpha() for c in letters), any(c.isdigit() for c in letters))
+    numbers = NUMBERS if any(c.isalpha() for c in letters) and any(c.isdigit() for c in letters) else float(letters.isdigit())
     lower, upper = any(c.islower() for c in letters), any(c.isupper() for c in letters)
-    rng = np.random.default_rng([zlib.crc32(name.encode()), cls])
-    kinds = []
-    for digits in (False, True):
-        own = sorted((w for w in pieces if w.isdigit() == digits), key=_hash)
-        fixed = DIGITS if digits else WORDS
-        weight = np.sqrt([*(pieces[w] for w in own), *(1 for _ in fixed)])
-        kinds.append(([*own, *fixed], weight / weight.sum()))
-    n = CLASSES[cls]
-    out, have = [], 0
-    while have < NULLS * n:
-        some = NULLS
-        numeric = rng.random(some) < (NUMBERS if all(held) else float(held[1]))
-        draws = [rng.choice(len(w), some, p=p) for w, p in kinds]
-        capital, mark = rng.random(some) < CAPITALS, rng.integers(0, 8, some)
-        parts = []
-        for i in range(some):
-            w = kinds[1][0][draws[1][i]] if numeric[i] else kinds[0][0][draws[0][i]]
-            if not (lower and upper):
-                w = w.lower() if lower else w.upper()
-            elif capital[i]:
-                w = w.title()
-            parts.append(w)
-            if name == "base64" and mark[i] < 4:
-                parts.append("+/_-"[mark[i]])
-        drawn = [places[c] for c in "".join(parts) if c in places]
-        if not drawn:  # no piece has a character of the alphabet
-            return np.ones(BINS)
-        out += drawn
-        have = len(out)
-    p = battery(np.array(out[:NULLS * n], dtype=np.int64).reshape(NULLS, n), len(letters))
-    found = np.cumsum(np.bincount([bin_of(x) for x in p.tolist()], minlength=BINS))
-    shares = (found + 1) / (NULLS + 1)
+    shares = (1 - numbers, numbers)
+    slots = max(c.sum() / p for c, p in zip(copies, shares) if p)
+    listed, picked = [], []
+    for some, c, share in zip(pieces, copies, shares):
+        if share:
+            picked.append(np.resize(rng.permutation(np.repeat(np.arange(len(some)) + len(listed), c)), math.ceil(slots * share)))
+            listed += some
+    order = rng.permutation(np.concatenate(picked))
+    if lower and upper:
+        order = order + len(listed) * (rng.random(len(order)) < CAPITALS)
+        listed = listed + [w.title() for w in listed]
+    else:
+        listed = [w.lower() if lower else w.upper() for w in listed]
+    if name == "base64":  # a mark, or nothing, after each piece
+        marks = len(listed) + np.minimum(rng.integers(0, 8, len(order)), 4)
+        listed = [*listed, *"+/_-", ""]
+        order = np.stack([order, marks], axis=1).ravel()
+    coded = [[places[c] for c in w if c in places] for w in listed]
+    sizes = np.array([len(c) for c in coded])
+    flat = np.array([x for c in coded for x in c], dtype=np.int64)
+    taken = sizes[order]
+    ends = np.cumsum(taken)
+    return flat[np.repeat((np.cumsum(sizes) - sizes)[order] - (ends - taken), taken) + np.arange(ends[-1])]
+
+
+def null_counts(name: str, classes: list[int], counted: dict[str, int], least: int = NULLS, deck: int = 0) -> dict[int, np.ndarray]:
+    """Null tokens of an encoding by bin, for each length class: all pieces by the root of their counts, `least` tokens or more."""
+    rng = np.random.default_rng([zlib.crc32(name.encode()), deck])
+    own = [sorted(w for w in counted if w.isdigit() == digits) for digits in (False, True)]
+    pieces = tuple(o or fixed for o, fixed in zip(own, (WORDS, DIGITS)))
+    copies = tuple(np.array([math.isqrt(counted.get(w, 1)) for w in some]) for some in pieces)
+    size = len(dict(ALPHABETS)[name])
+    stream = _stream(name, pieces, copies, rng)
+    whole = len(stream)
+    if not whole:  # no piece has a character of the alphabet
+        return {}
+    streams, have = [stream], whole
+    while have < least * max(CLASSES[c] for c in classes):
+        streams.append(_stream(name, pieces, copies, rng))
+        have += len(streams[-1])
+    stream = np.concatenate(streams)
+    out = {}
+    for cls in classes:
+        n = CLASSES[cls]
+        tokens = max(-(-whole // n), least)
+        rows = np.resize(stream[:tokens * n], tokens * n).reshape(tokens, n)
+        found = np.zeros(BINS, dtype=np.int64)
+        for start in range(0, tokens, 1 << 14):
+            p = battery(rows[start:start + (1 << 14)], size)
+            found += np.bincount(np.minimum(BINS - 1, (-8 * np.log10(np.maximum(p, 1e-40))).astype(np.int64)), minlength=BINS)
+        out[cls] = found
+    return out
+
+
+def null_shares(counts: np.ndarray) -> np.ndarray:
+    """The share of null tokens that is in each bin or a more random one."""
+    found = np.cumsum(counts)
+    if not found[-1]:
+        return np.ones(BINS)
+    shares = (found + 1) / (found[-1] + 1)
     # two well-counted places on the left give the line (of logarithms) that the rare bins stay below
     at, to = (int(np.searchsorted(found, x)) for x in (COUNTED, 20 * COUNTED))
     if 0 < at < to < BINS:
@@ -207,11 +231,11 @@ def null_shares(name: str, cls: int, pieces: dict[str, int]) -> np.ndarray:
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """Add `base` (spans), `tested` (candidates with length class, encoding and bin) and, in the first
-    row of each batch, `pieces` (its ordinary words and numbers of smallest hash, with counts)."""
+    row of each batch, `pieces` (its ordinary words and numbers, with counts)."""
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType())])
     token = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("size", T.IntegerType()),
                           T.StructField("encoding", T.IntegerType()), T.StructField("bin", T.IntegerType())])
-    count = T.StructType([T.StructField("piece", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("n", T.LongType())])
+    count = T.StructType([T.StructField("piece", T.StringType()), T.StructField("n", T.LongType())])
     added = [T.StructField("base", T.ArrayType(span)), T.StructField("tested", T.ArrayType(token)), T.StructField("pieces", T.ArrayType(count))]
     names = [f.name for f in added]
     schema = T.StructType([f for f in df.schema.fields if f.name not in [*names, text]] + added)
@@ -232,33 +256,60 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
                         tested.append({"start": m.start(), "end": m.end(), "size": length_class(len(tok)), "encoding": numbers[encoding(tok)[0]], "bin": bin_of(randomness(tok))})
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
                 tests.append(tested)
-            pieces = [ordinary(texts)] + [[]] * (len(texts) - 1)
+            counts = ordinary(texts)
+            pieces = pa.ListArray.from_arrays(pa.array([0] + [len(counts)] * len(texts), pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["piece", "n"]))
             kept = [n for n in part.schema.names if n not in [*names, text]]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(n) for n in kept] + [pa.array(v, kinds.field(n).type) for v, n in zip((bases, tests, pieces), names)], names=kept + names)
+            yield pa.RecordBatch.from_arrays([part.column(n) for n in kept] + [
+                pa.array(v, kinds.field(n).type) for v, n in zip((bases, tests), names)] + [pieces.cast(kinds.field("pieces").type)], names=kept + names)
 
     return df.mapInArrow(run, schema)
 
 
+def nulls(scanned: DataFrame, wanted: dict[str, list[int]]) -> DataFrame:
+    """(encoding, size, bin, n): null tokens of all the ordinary words and numbers, for the classes wanted of each encoding."""
+    fixed = scanned.sparkSession.createDataFrame([(w, 1) for w in [*WORDS, *DIGITS]], "piece string, n long")
+    counted = stored(scanned.select(F.inline("pieces")).unionByName(fixed).groupBy("piece").agg(F.sum("n").alias("n")))
+    decks = -(-counted.agg(F.sum(F.floor(F.sqrt("n")))).first()[0] // DECK)
+    numbers = {name: i for i, (name, _) in enumerate(ALPHABETS)}
+
+    def deck(part: pa.Table) -> pa.Table:
+        pieces = dict(zip(part.column("piece").to_pylist(), part.column("n").to_pylist()))
+        out = []
+        for name, classes in wanted.items():
+            for cls, found in null_counts(name, classes, pieces, -(-NULLS // decks), part.column("deck")[0].as_py()).items():
+                out += [(numbers[name], cls, at, int(found[at])) for at in np.flatnonzero(found).tolist()]
+        columns = zip(*out) if out else [()] * 4
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64()))],
+                                    names=["encoding", "size", "bin", "n"])
+
+    # decks are small in bytes but take seconds each: by their number, or few tasks would get them all
+    dealt = counted.withColumn("deck", F.pmod(F.xxhash64("piece"), F.lit(decks))).repartition(decks, "deck")
+    return dealt.groupBy("deck").applyInArrow(deck, "encoding int, size int, bin int, n long").groupBy("encoding", "size", "bin").agg(F.sum("n").alias("n"))
+
+
+def _by_class(rows) -> dict[tuple[int, int], np.ndarray]:
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for r in rows:
+        out.setdefault((r["size"], r["encoding"]), np.zeros(BINS, dtype=np.int64))[r["bin"]] += r["n"]
+    return out
+
+
 def thresholds(scanned: DataFrame, q: float = Q) -> dict[tuple[int, int], int]:
     """The largest bin of each length class and encoding at which findings stay under the false share `q`.
 
-    Counts come as one row per class, encoding and bin, pieces as at most PIECES words and as many
-    numbers: numbers that do not depend on the data."""
-    counted = scanned.select(F.inline("pieces")).groupBy("piece", "hash").agg(F.sum("n").alias("n"))
-    # a piece among the smallest of all is among the smallest of each batch that has it, so its count is whole
-    pieces = {}
-    for digits in (False, True):
-        some = counted.where(F.col("piece").rlike("^[0-9]") == digits).orderBy("hash", "piece").limit(PIECES)
-        pieces |= {r["piece"]: r["n"] for r in some.collect()}
-    tested = scanned.select(F.inline("tested")).groupBy("size", "encoding", "bin").agg(F.count("*").alias("n")).collect()
-    seen: dict[tuple[int, int], np.ndarray] = {}
-    for r in tested:
-        seen.setdefault((r["size"], r["encoding"]), np.zeros(BINS))[r["bin"]] += r["n"]
+    Counts come as one row per class, encoding and bin: a number that does not depend on the data."""
+    numbers = {name: i for i, (name, _) in enumerate(ALPHABETS)}
+    seen = _by_class(scanned.select(F.inline("tested")).groupBy("size", "encoding", "bin").agg(F.count("*").alias("n")).collect())
+    if not seen:
+        return {}
+    like = {(cls, number): SAME.get(ALPHABETS[number][0], ALPHABETS[number][0]) for cls, number in seen}
+    wanted = {name: sorted({cls for (cls, _), of in like.items() if of == name}) for name in sorted(set(like.values()))}
+    null = _by_class(nulls(scanned, wanted).collect())
     out = {}
     for (cls, number), counts in sorted(seen.items()):
         found = np.cumsum(counts)
-        p = null_shares(ALPHABETS[number][0], cls, pieces)
+        p = null_shares(null.get((cls, numbers[like[cls, number]]), np.zeros(BINS)))
         good = np.flatnonzero((found > 0) & (p * found[-1] <= q * np.maximum(found, 1)))
         if len(good):
             out[cls, number] = int(good[-1])

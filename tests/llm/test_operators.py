@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -543,6 +544,22 @@ def test_keys_of_letters_alone(spark, texts, pool):
     assert sum(found[i] for i in planted) >= 10 and not any(found[i] for i in texts)
 
 
+def test_all_ordinary_words_are_in_the_null(spark):
+    # words of the smallest hashes are plain, 12 000 others look random: so do tokens that are made of them
+    rng = random.Random(12)
+    small = lambda w: xxhash.xxh3_64_intdigest(w) >> 1 < 1 << 60
+    plain = {"".join(rng.choice(["the", "ing", "ation", "er", "con", "al", "ent", "or", "in", "re"]) for _ in range(5)) for _ in range(60_000)}
+    plain = sorted(w for w in plain if len(w) < 16 and small(w))
+    odd = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(15)) for _ in range(14_000)]
+    odd = [w for w in odd if not small(w)]
+    assert len(odd) > 12_000 and len(plain) > 2_500
+    texts = [" ".join(odd[i::50] + plain[i::50] + [odd[i] + odd[i + 50] + odd[i + 100]]) for i in range(50)]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sum(len(r.spans) for r in secrets.find(made).collect()) <= 1
+    counted = {r.piece: r.n for r in secrets.scan(made).select(F.inline("pieces")).groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    assert set(counted) == {*odd, *plain}
+
+
 def test_digits_alone_are_tested(spark):
     made = spark.createDataFrame([(1, "call 93847561029384756102 now"), (2, "=" * 30), (3, "two words")], "doc_id long, text string")
     tested = {r.doc_id: [(x.start, x.end, secrets.ALPHABETS[x.encoding][0]) for x in r.tested] for r in secrets.scan(made).collect()}
