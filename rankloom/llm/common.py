@@ -47,6 +47,12 @@ def strings(array: pa.Array) -> list[str]:
     return [v if v is not None else "" for v in array.to_pylist()]
 
 
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every run, `sizes` of each."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def words_of(text: str) -> list[bytes]:
     """Words in UTF-8, split at ASCII white space, with A-Z in lower case."""
     return text.encode("utf-8", "surrogatepass").lower().split()

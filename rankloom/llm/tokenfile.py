@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rankloom import runtime
 from rankloom.llm import ranges
-from rankloom.llm.pretokens import units
+from rankloom.llm.common import slices
+from rankloom.llm.pretokens import cut, gathered
 from rankloom.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,6 +34,8 @@ END_ID = 0
 BLOCK_IDS = 4_000_000
 # Units remembered per Python worker: as many again in the store before, from which those in use move over.
 MEMORY_UNITS = 300_000
+# Text bytes that are cut and coded at once; longer texts come alone.
+SLICE_BYTES = 4 * 1024 * 1024
 # Stands between texts that are merged in one call; no token but its own has this byte.
 GAP = "\0"
 
@@ -92,7 +94,6 @@ class Encoder:
         self.gap, = self.whole.encode(GAP, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?"))))
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of matches of the pattern."""
@@ -110,15 +111,12 @@ class Encoder:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        # a letter and a mark after it are always cut apart, so words with marks are made of what is known of both
-        known, marks = self.known, self.marks
-        marked = [u for u in new if u[-1] in marks and u[-2:-1].isascii() and u[-2:-1].isalpha()]
+        known = self.known
         words, others = [], []
-        for u in {*new}.difference(marked) | {u[:-1] for u in marked}:
-            if u not in known:
-                body = u[1:] if u[0] == " " else u
-                simple = body.isalpha() and (body.isascii() or max(body) < "\u0250")
-                (words if simple else others).append(u)
+        for u in new:
+            body = u[1:] if u[0] == " " else u
+            simple = body.isalpha() and (body.isascii() or max(body) < "\u0250")
+            (words if simple else others).append(u)
         known.update(zip(words, self._ids(words)))
         split = list(map(self.pattern.findall, others))
         pieces = list({p for parts in split for p in parts if p not in known})
@@ -126,8 +124,6 @@ class Encoder:
         for u, parts in zip(others, split):
             if len(parts) > 1:
                 known[u] = b"".join(map(known.__getitem__, parts))
-        for u in marked:
-            known[u] = known[u[:-1]] + marks[u[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of unsigned 32-bit integers; an added token in a text has its own id."""
@@ -144,19 +140,20 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MEMORY_UNITS:
             self.known, self.older = {}, self.known
-        cut = [units(t, self.pattern) for t in texts]
-        got = [list(map(self.known.get, us)) for us in cut]
-        missing = [[i for i, ids in enumerate(g) if ids is None] if None in g else () for g in got]
-        new = list({us[i] for us, at in zip(cut, missing) for i in at})
-        if new:
+        found, places, counts = cut(texts, self.pattern)
+        got = list(map(self.known.get, found))
+        missing = [i for i, ids in enumerate(got) if ids is None]
+        if missing:
+            new = [found[i] for i in missing]
             if self.older:
                 self.known.update((u, self.older[u]) for u in new if u in self.older)
                 new = [u for u in new if u not in self.known]
             self._learn(new)
-            for us, g, at in zip(cut, got, missing):
-                for i in at:
-                    g[i] = self.known[us[i]]
-        return list(map(b"".join, got))
+            for i in missing:
+                got[i] = self.known[found[i]]
+        ids, ends = gathered(got, places, counts)
+        raw, stops = ids.tobytes(), (4 * ends).tolist()
+        return list(map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)))
 
 
 @lru_cache(maxsize=2)
@@ -181,7 +178,7 @@ def write(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", p
                         **dict(zip(("ranks", "control", "data"), code(ids)))})
 
         size = 0
-        for batch in data.to_batches(max_chunksize=512):
+        for batch in slices(data.combine_chunks().to_batches(), "text", SLICE_BYTES):
             for k, ids in zip(batch.column("key").to_pylist(), encoder(path).encode(batch.column("text").to_pylist())):
                 if keys and size + len(ids) // 4 + 1 > BLOCK_IDS:
                     flush()

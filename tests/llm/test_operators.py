@@ -742,3 +742,24 @@ def test_units_join_to_the_text():
     pattern = regex.compile(public_tokenizers.PATTERN)
     for text in ["", "a b", " a\nb ", "a  b", "x\n\ny", "\x01 z"]:
         assert "".join(pretokens.units(text, pattern)) == text
+
+
+def test_cuts_of_many_texts(texts):
+    import regex
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    rng = random.Random(13)
+    cases = ["", "a b", " a\nb ", "", "a  b.", "x\n\ny", "\x01 z", "é. ,a;b\n", ".", "a.b.c d's?!", "\t", ""] + [t or "" for t in texts.values()]
+    cases += ["".join(rng.choice(" \n\t.,'sadé漢😀9\u3000") for _ in range(rng.randrange(40))) for _ in range(2000)]
+    for some in (cases, cases[:1], [], ["  "], [""] * 3):
+        found, places, counts = pretokens.cut(some, pattern)
+        assert len(set(found)) == len(found) and counts.sum() == len(places)
+        at = 0
+        for text, n in zip(some, counts.tolist()):  # the units join to the text, their matches to its matches
+            units = [found[i] for i in places[at:at + n].tolist()]
+            assert "".join(units) == text and [p for u in units for p in pattern.findall(u)] == pattern.findall(text), repr(text)
+            at += n
+        assert at == len(places)
+        ids = [np.arange(len(u), dtype="<u4").tobytes() for u in found]
+        joined, ends = pretokens.gathered(ids, places, counts)
+        assert ends.tolist() == np.cumsum([len(t) for t in some], dtype=int).tolist()
+        assert joined.tobytes() == b"".join(ids[i] for i in places.tolist())
