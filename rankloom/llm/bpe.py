@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
-from itertools import chain
 from typing import Iterator
 
 import numpy as np
@@ -24,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rankloom.llm.common import slices, strings
-from rankloom.llm.pretokens import units
+from rankloom.llm.pretokens import cut, gathered
 from rankloom.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# Remembered units per Python worker; the store is emptied when full.
-MEMORY_UNITS = 250_000
+# Units remembered per Python worker: as many again in the store before, from which those in use move over.
+MEMORY_UNITS = 150_000
 # Cells of the trees that are merged together.
 TREE_CELLS = 1 << 16
 
@@ -46,7 +45,7 @@ class Coder:
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
-        self.number = list(range(len(self.bytes_of)))  # one object per id, shared by all stored units
+        self.spelled = pa.array(self.bytes_of, pa.large_binary())
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs = {}
         for token, rank in self.ranks.items():
@@ -56,7 +55,11 @@ class Coder:
                     pairs[(a << 32) | b] = rank
         self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the token that a pair joins to, or -1."""
@@ -64,14 +67,14 @@ class Coder:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each piece (bytes, not empty)."""
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece (bytes, not empty), as bytes of 32-bit integers, little end first."""
+        out: list[bytes] = [b""] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             rank = self.ranks.get(piece)
             if rank is not None:
-                out[i] = (self.number[rank],)
+                out[i] = rank.to_bytes(4, "little")
             else:
                 by_width.setdefault(1 << (len(piece) - 1).bit_length(), []).append(i)
         for width, members in by_width.items():
@@ -82,7 +85,7 @@ class Coder:
                     out[i] = ids
         return out
 
-    def _merge_rows(self, pieces: list[bytes], width: int) -> Iterator[tuple[int, ...]]:
+    def _merge_rows(self, pieces: list[bytes], width: int) -> Iterator[bytes]:
         rows = len(pieces)
         sizes = np.array([len(p) for p in pieces])
         cells = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(rows, width)
@@ -118,12 +121,9 @@ class Coder:
                 r, p = active[has], previous[has]
                 self._set(tree, r, p, self._leaf(tokens, r, p, at[has], width), width)
             active = active[tree[active, 1] < _NONE]
-        flat = list(map(self.number.__getitem__, tokens[:, :width][live].tolist()))
-        ends = np.cumsum(live.sum(axis=1)).tolist()
-        start = 0
-        for end in ends:
-            yield tuple(flat[start:end])
-            start = end
+        flat = tokens[:, :width][live].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(live.sum(axis=1))).tolist()
+        return map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends))
 
     def _leaf(self, tokens, rows, left, right, width):
         a, b = tokens[rows, left], tokens[rows, right]
@@ -139,19 +139,35 @@ class Coder:
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
             width >>= 1
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text.  Units already met come from the store, all others merge at once."""
-        cut = [units(t, self.pattern) for t in texts]
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and the end of each text there.  Units already met come from the store,
+        all others merge at once."""
         if len(self.known) > MEMORY_UNITS:
-            self.known.clear()
-        known = self.known
-        split = {u: self.pattern.findall(u) for u in {u for us in cut for u in us if u not in known}}
-        pieces = list({p for parts in split.values() for p in parts if p not in known})
+            self.known, self.older = {}, self.known
+        found, places, counts = cut(texts, self.pattern)
+        known, older = self.known, self.older
+        new = [u for u in found if u not in known]
+        known.update((u, older[u]) for u in new if u in older)
+        words, split = [], {}
+        for u in new:
+            if u not in known:
+                body = u[1:] if u[0] == " " else u
+                if body.isalpha() and body.isascii():  # one match of the pattern
+                    words.append(u)
+                else:
+                    split[u] = self.pattern.findall(u)
+        pieces = [*words, *{p for parts in split.values() for p in parts if p not in known}.difference(words)]
         known.update(zip(pieces, self.merge([p.encode("utf-8") for p in pieces])))
         for unit, parts in split.items():
             if len(parts) > 1:
-                known[unit] = tuple(chain.from_iterable(map(known.__getitem__, parts)))
-        return [list(chain.from_iterable(map(known.__getitem__, us))) for us in cut]
+                known[unit] = b"".join(map(known.__getitem__, parts))
+        return gathered(list(map(known.__getitem__, found)), places, counts)
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        flat, ends = self.encode_flat(texts)
+        ids, stops = flat.tolist(), ends.tolist()
+        return list(map(ids.__getitem__, map(slice, [0, *stops[:-1]], stops)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -177,14 +193,12 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
 
     def run(batches):
         c = coder(path)
-        c.known.clear()  # left by another task in this worker
+        c.forget()  # what another task left in this worker
         for part in slices(batches, text, 4 * 1024 * 1024):
-            found = c.encode_all(strings(part.column(text)))
-            offsets = np.zeros(len(found) + 1, dtype=np.int32)
-            np.cumsum([len(f) for f in found], out=offsets[1:])
-            flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(offsets[-1]))
-            yield _with_column(part, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
-        c.known.clear()  # idle workers keep no store
+            flat, ends = c.encode_flat(strings(part.column(text)))
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            yield _with_column(part, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int32))))
+        c.forget()  # idle workers keep no store
 
     return df.mapInArrow(run, _appended(df, ids, T.ArrayType(T.IntegerType())))
 
@@ -199,11 +213,13 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", out: str =
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 column = part.column(ids)
-                values = column.flatten().to_numpy(zero_copy_only=False).tolist()
-                sizes = np.array([n or 0 for n in column.value_lengths().to_pylist()], dtype=np.int64)
-                ends = np.cumsum(sizes)
-                got = [c.decode(values[e - n:e]) for n, e in zip(sizes.tolist(), ends.tolist())]
-                yield _with_column(part, out, pa.array(got, type=pa.binary()))
+                # the tokens' bytes one after the other; a text is what lies between two of their borders
+                taken = c.spelled.take(column.flatten())
+                borders = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset:taken.offset + len(taken) + 1]
+                ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                offsets = borders[np.concatenate([[0], ends])] if len(taken) else np.zeros(len(column) + 1, dtype=np.int64)
+                got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(offsets.astype(np.int64)), taken.buffers()[2]])
+                yield _with_column(part, out, got.cast(pa.binary()))
 
     return df.mapInArrow(run, _appended(df, out, T.BinaryType()))
 

@@ -84,6 +84,25 @@ def test_bpe_rows(spark, odd, nothing):
     assert bpe.decode(bpe.encode(nothing)).count() == 0
 
 
+def test_bpe_decodes_many_arrays(spark, library):
+    rng = random.Random(14)
+    rows = [(i, None if i % 7 == 0 else [rng.randrange(256, 20_000) for _ in range(rng.randrange(4))]) for i in range(3000)] + [(3000, [5] * 9)]
+    for some in (rows, [(1, None), (2, [])]):
+        got = {r.i: bytes(r.decoded) for r in bpe.decode(spark.createDataFrame(some, "i long, ids array<int>").coalesce(1)).collect()}
+        assert got == {i: library.decode_bytes(ids or []) for i, ids in some}
+
+
+def test_bpe_store_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY_UNITS", 50)
+    coder = bpe.Coder(public_tokenizers.path(bpe.VOCABULARY))
+    rng = random.Random(15)
+    for _ in range(30):  # units move between the stores, and back
+        some = [" ".join(f"w{'abc'[rng.randrange(3)] * rng.randrange(1, 20)}." for _ in range(rng.randrange(40))) for _ in range(3)]
+        flat, ends = coder.encode_flat(some)
+        assert [flat[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [library.encode_ordinary(t) for t in some]
+        assert len(coder.known) < 300 and len(coder.older) < 300
+
+
 # --- chat
 
 
